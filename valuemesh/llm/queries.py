@@ -6,13 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valuemesh.llm import decontam, pii, secrets
+from valuemesh.llm import decontam, langid, packing, pii, secrets, token_counts
+
+#: Vocabulary files of the public tokenizers.
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op2_packing(_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op3_langid(_table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op10_token_counts(_table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op5_pii(_table(spark, sf_dir, "documents"))
 
@@ -26,7 +47,7 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_pii": op5_pii, "op6_secrets": op6_secrets, "op7_decontam": op7_decontam}
+    return {f.__name__: f for f in (op2_packing, op3_langid, op5_pii, op6_secrets, op7_decontam, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
