@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valuemesh.llm import decontam, jaccard_join, langid, packing, pii, secrets, token_counts
+from valuemesh.llm import decontam, jaccard_join, langid, metric_join, packing, pii, secrets, token_counts
 
 #: Vocabulary files of the public tokenizers.
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -30,6 +30,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op3_langid(_table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.op8_embedding_join(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.op9_ngram_jaccard(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_langid, op5_pii, op6_secrets, op7_decontam, op9_ngram_jaccard, op10_token_counts)}
+    return {f.__name__: f for f in (op2_packing, op3_langid, op5_pii, op6_secrets, op7_decontam, op8_embedding_join, op9_ngram_jaccard, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
