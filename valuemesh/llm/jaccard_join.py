@@ -26,11 +26,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valuemesh.llm.batches import LOWER, ODD, mix, range_hashes, text_chunks, words
-from valuemesh.llm.store import Scratch, components
+from valuemesh.llm.linking import link, verified
+from valuemesh.llm.store import Scratch
 
 WIDTH = 5
 #: Links have 100 * intersection >= 80 * union. The bounds below are for this similarity.
@@ -38,10 +39,8 @@ PER_CENT = 80
 #: Sizes 4 to 8 are band 0, to 16 band 1, and so on; up to DELETE_BAND segments get allocation 2.
 FIRST, DELETE_BAND = 8, 3
 FLUSH = 1 << 19
-PIVOT_ROUNDS = 2
 #: A list with more different components than this is long.
 LONG = 40
-SALTS = 32
 OWN, DELETED = 1, 2
 
 
@@ -258,37 +257,13 @@ def similar(a: set, b: set) -> bool:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, linked) of the pairs (a: pivot). A pivot's pairs are salted over SALTS tasks."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    pivots = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("cls", "a"), "a").select("a", "salt", F.lit(None).cast("bigint").alias("b"), "text")
-    members = salted.join(texts.withColumnRenamed("cls", "b"), "b").select("a", "salt", "b", "text")
+    return verified(pairs, texts, _shingle_set, similar)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, have = None, set()
-        for batch in batches:
-            a, b, linked = [], [], []
-            for x, y, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                if y is None:
-                    pivot, have = x, _shingle_set(text.as_py())
-                    continue
-                assert x == pivot
-                a.append(x)
-                b.append(y)
-                linked.append(similar(have, _shingle_set(text.as_py())))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-    dealt = pivots.union(members).repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(run, "a bigint, b bigint, linked boolean")
-
-
-def _can_link(n: str, other: str):
-    """Sizes allow the similarity."""
-    return (F.col(n) * 100 >= F.col(other) * PER_CENT) & (F.col(other) * 100 >= F.col(n) * PER_CENT)
 
-
-def _apart(a: str, b: str):
-    """Two members of a list that can be partners: not both deletions, not both from the upper band."""
-    return (F.col(a).bitwiseAND(F.col(b)).bitwiseAND(DELETED) == 0) & (F.col(a).bitwiseOR(F.col(b)).bitwiseAND(OWN) > 0)
+def _possible(n: Column, flag: Column, other_n: Column, other_flag: Column) -> Column:
+    """Sizes allow the similarity; not both are deletions, nor both from the upper band."""
+    sizes = (n * 100 >= other_n * PER_CENT) & (other_n * 100 >= n * PER_CENT)
+    return sizes & (flag.bitwiseAND(other_flag).bitwiseAND(DELETED) == 0) & (flag.bitwiseOR(other_flag).bitwiseAND(OWN) > 0)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -303,24 +278,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     member = lists.select("cls").distinct().join(heads, "cls")
     texts = scratch.write(_texts(docs, member))
 
-    tried, open_lists = None, lists
-    roots = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        last = turn == PIVOT_ROUNDS
-        pairs = _cross(scratch, open_lists, member, turn) if last else _stars(open_lists, turn)
-        pairs = pairs.where("a <> b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        got = scratch.write(_verified(pairs, texts))
-        tried = got if tried is None else tried.union(got)
-        roots = scratch.write(components(scratch, tried.where("linked").select("a", "b")))
-        if last:
-            break
-        rooted = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        mixed = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-        open_lists = scratch.write(_salted_join(rooted, mixed))
-        if open_lists.isEmpty():
-            break
+    roots = link(scratch, lists, lambda pairs: _verified(pairs, texts), _possible, lambda sized: _kept_of_long(sized, member))
     head = heads.select("cls", "head").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = head.groupBy("root").agg(F.min("head").alias("component_id"))
     by_class = scratch.write(head.join(least, "root").select("cls", "component_id"))
@@ -340,31 +298,11 @@ def _texts(docs: DataFrame, member: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "cls bigint, text string").dropDuplicates(["cls"])
 
 
-def _salted_join(lists: DataFrame, few: DataFrame) -> DataFrame:
-    """``lists`` with the columns of ``few`` (one row a sig); long lists are spread over SALTS tasks."""
-    salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")
-    spread = few.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return lists.withColumn("salt", salt).join(spread, ["sig", "salt"]).drop("salt")
-
-
-def _stars(lists: DataFrame, turn: int) -> DataFrame:
-    """(a, b): every member of a list with the list's pivot, the plain member of least rank."""
-    rank = F.struct(F.xxhash64("cls", F.lit(turn)).alias("r"), F.col("cls").alias("a"), F.col("n").alias("an"), F.col("flag").alias("aflag"))
-    pivot = lists.where(F.col("flag").bitwiseAND(DELETED) == 0).groupBy("sig").agg(F.min(rank).alias("p")).select("sig", "p.a", "p.an", "p.aflag")
-    met = _salted_join(lists, pivot).where(_can_link("n", "an") & _apart("flag", "aflag"))
-    if "root" in lists.columns:  # members of the pivot's own component need no link to it
-        own = lists.select("cls", "root").distinct().select(F.col("cls").alias("a"), F.col("root").alias("aroot"))
-        met = met.join(own, "a").where("root <> aroot")
-    return met.select("a", F.col("cls").alias("b"))
-
-
-def _cross(scratch: Scratch, lists: DataFrame, member: DataFrame, turn: int) -> DataFrame:
-    """(a, b): all pairs of different components that are still possible, list by list.
+def _kept_of_long(sized: DataFrame, member: DataFrame) -> DataFrame:
+    """Of the lists with their number of components, the memberships that still have to be compared.
 
     A long list gets allocation 0: only those of its members stay that then run short of allocations.
     """
-    size = lists.groupBy("sig").agg(F.approx_count_distinct("root", 0.05).alias("roots"))
-    sized = scratch.write(_salted_join(lists, size))
     long = sized.where(F.col("roots") > LONG)
     own = F.col("flag").bitwiseAND(OWN) > 0
     lost = long.groupBy("cls").agg(F.sum(F.when(own, F.col("lists")).otherwise(0)).alias("lost_own"), F.sum(F.when(own, 0).otherwise(F.col("lists"))).alias("lost_low"))
@@ -376,12 +314,7 @@ def _cross(scratch: Scratch, lists: DataFrame, member: DataFrame, turn: int) ->
     poor_low = F.col("cap_low") - weight(k - 1) * F.col("lost_low") <= F.floor((F.col("n") + low_top) / 9)
     short = share.select("cls", poor_own.alias("poor_own"), poor_low.alias("poor_low"))
     rest = long.join(short, "cls").where(F.when(own, F.col("poor_own")).otherwise(F.col("poor_low")))
-    some = sized.where(F.col("roots") <= LONG).select("sig", "cls", "n", "flag", "root").union(rest.select("sig", "cls", "n", "flag", "root"))
-    # all pairs of a list, dealt in blocks: each member meets the members of its list salt by salt
-    one = some.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(4)])))
-    other = some.select("sig", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("flag").alias("bflag"), F.col("root").alias("broot"), F.pmod(F.xxhash64("cls"), F.lit(4)).cast("int").alias("salt"))
-    met = one.join(other, ["sig", "salt"]).where((F.col("cls") < F.col("b")) & (F.col("root") != F.col("broot")) & _can_link("n", "bn") & _apart("flag", "bflag"))
-    return met.select(F.col("cls").alias("a"), "b")
+    return sized.where(F.col("roots") <= LONG).select("sig", "cls", "n", "flag", "root").union(rest.select("sig", "cls", "n", "flag", "root"))
 
 
 def op9_ngram_jaccard(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valuemesh.llm import decontam, jaccard_join, langid, metric_join, packing, pii, secrets, token_counts
+from valuemesh.llm import decontam, jaccard_join, langid, line_dedup, metric_join, packing, pii, secrets, token_counts
 
 #: Vocabulary files of the public tokenizers.
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -42,6 +42,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op10_token_counts(_table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op4_line_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op5_pii(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_langid, op5_pii, op6_secrets, op7_decontam, op8_embedding_join, op9_ngram_jaccard, op10_token_counts)}
+    return {f.__name__: f for f in (op2_packing, op3_langid, op4_line_dedup, op5_pii, op6_secrets, op7_decontam, op8_embedding_join, op9_ngram_jaccard, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
