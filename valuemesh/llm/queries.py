@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valuemesh.llm import decontam, jaccard_join, langid, line_dedup, metric_join, packing, pii, secrets, token_counts
+from valuemesh.llm import decontam, jaccard_join, langid, line_dedup, metric_join, packing, pii, secrets, substring_dedup, token_counts
 
 #: Vocabulary files of the public tokenizers.
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -22,6 +22,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op1_substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op2_packing(_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
@@ -59,7 +63,7 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_langid, op4_line_dedup, op5_pii, op6_secrets, op7_decontam, op8_embedding_join, op9_ngram_jaccard, op10_token_counts)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_langid, op4_line_dedup, op5_pii, op6_secrets, op7_decontam, op8_embedding_join, op9_ngram_jaccard, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
