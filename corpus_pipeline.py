@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from valuemesh.deploy import ship
 from valuemesh.llm import decontam, jaccard_join, langid, line_dedup, packing
 from valuemesh.llm.queries import BYTE_BPE, tokenizer_path
 from valuemesh.llm.store import Scratch
@@ -17,6 +18,7 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return langid.drop_unidentified(docs, LEAST_SCORE)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from valuemesh.deploy import ship
 from valuemesh.llm import decontam, jaccard_join, langid, line_dedup, metric_join, packing, pii, secrets, substring_dedup, token_counts
 
 #: Vocabulary files of the public tokenizers.
@@ -13,6 +14,7 @@ BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
