@@ -24,6 +24,7 @@ class Graph:
 def link(nodes: DataFrame, edges: DataFrame, color_epsilon: float | None = None) -> tuple[DataFrame, DataFrame]:
     """A merged graph with composition and similarity edges."""
     nodes, edges = merge_fragments([(nodes, edges), composition(nodes)])
+    nodes = nodes.persist()  # every value type's join reads them
     near = similar_to(nodes.where("type = 'RawValue'"), None if color_epsilon is None else {"color": color_epsilon})
     return nodes, edges.unionByName(conform(near, EDGES))
 
@@ -32,7 +33,9 @@ def build(spark: SparkSession, root: str, adapters: list[Adapter] | None = None,
     """The graph of a project; written as Parquet where ``out`` is given."""
     found = run_adapters(spark, root, adapters)
     empty = (spark.createDataFrame([], ddl(NODES)), spark.createDataFrame([], ddl(EDGES)))
-    nodes, edges = link(*merge_fragments([f for _, f in found] or [empty]), color_epsilon)
+    nodes, edges = merge_fragments([f for _, f in found] or [empty])
+    nodes, edges = link(nodes.persist(), edges.persist(), color_epsilon)
+    edges = edges.persist()
     if out:
         write_graph(nodes, edges, out)
     return Graph(nodes, edges, [n for n, _ in found])

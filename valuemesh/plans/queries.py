@@ -384,7 +384,7 @@ def oracle_sql() -> dict[str, str]:
         "color_neighbours": f"SELECT id, other, scope, {_half('d', 3)} AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY id, scope ORDER BY d, other) AS rank FROM ({both})) WHERE rank <= 3",
         "flagship": f"WITH n AS (SELECT 'value:dimension:' || p_size || 'px@size' AS value, count(*) AS n FROM part GROUP BY 1) SELECT e.source, e.target, e.distance, e.weight, a.n AS source_parts, b.n AS target_parts FROM ({similar_sizes}) e JOIN n a ON a.value = e.source JOIN n b ON b.value = e.target",
         "match_exact": f"WITH n AS (SELECT 'value:dimension:' || p_size || 'px@size' AS value_id, p_size || 'px@size' AS label, count(*) AS n_tokens FROM part GROUP BY 1, 2), h AS (SELECT 'exact' AS role, '{size_px}' AS value_id, cast(NULL AS double) AS distance UNION ALL SELECT 'similar', CASE WHEN source = '{size_px}' THEN target ELSE source END, distance FROM ({similar_sizes}) WHERE source = '{size_px}' OR target = '{size_px}') SELECT h.role, h.value_id, n.label, h.distance, n.n_tokens FROM h JOIN n USING (value_id)",
-        "seeds": f"SELECT id, label, score FROM (SELECT id, label, CASE WHEN label = 'blue' OR id = 'blue' THEN 1.0 WHEN regexp_replace(lower(label), '[\\s\\-_/]+', '', 'g') = 'blue' THEN 0.9 WHEN contains(regexp_replace(lower(label), '[\\s\\-_/]+', '', 'g'), 'blue') OR contains('blue', regexp_replace(lower(label), '[\\s\\-_/]+', '', 'g')) THEN 0.6 ELSE 0.0 END AS score FROM ({_size_nodes_sql()})) WHERE score >= 0.5 ORDER BY score DESC, id LIMIT 50",
+        "seeds": f"SELECT id, label, score FROM (SELECT id, label, CASE WHEN label = 'blue' OR id = 'blue' THEN 1.0 WHEN regexp_replace(lower(label), '[\\s\\-_/]+', '', 'g') = 'blue' THEN 0.9 WHEN contains(regexp_replace(lower(label), '[\\s\\-_/]+', '', 'g'), 'blue') OR contains('blue', regexp_replace(lower(label), '[\\s\\-_/]+', '', 'g')) THEN 0.6::double ELSE 0.0 END AS score FROM ({_size_nodes_sql()})) WHERE score >= 0.5 ORDER BY score DESC, id LIMIT 50",
         "explain_group": f"WITH e AS ({_size_edges_sql()}) SELECT id, relation, count(*) AS n, min(other) AS least, max(other) AS most FROM (SELECT source AS id, relation, target AS other FROM e UNION ALL SELECT target, relation, source FROM e) WHERE id LIKE 'value:%' GROUP BY id, relation",
         "shares_value": "SELECT 'token:part:' || a.p_partkey AS id, count(*) AS n, min('token:part:' || b.p_partkey) AS least FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey GROUP BY 1",
         "merge_dedup": "SELECT 'asset:' || coalesce(d.doc_id, l.doc_id) AS id, 'Asset' AS type, coalesce(d.source, CASE WHEN l.doc_id IS NOT NULL THEN 'labelled' END) AS label, CASE WHEN l.toxic = 1 THEN 'toxic' ELSE d.lang END AS category, cast(l.quality AS varchar) AS tier FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id",

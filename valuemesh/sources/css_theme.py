@@ -215,11 +215,11 @@ def tokens_and_values(decls: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit(False).alias("inferred"),
         F.array(F.struct(F.lit("light").alias("mode"), F.col("light").alias("v")), F.struct(F.lit("dark").alias("mode"), F.col("dark").alias("v"))).alias("given"),
     )
-    tokens = semantic.unionByName(primitive).withColumn("token", F.concat_ws(":", F.lit("token"), "category", "label"))
+    tokens = semantic.unionByName(primitive).withColumn("token", F.concat_ws(":", F.lit("token"), "category", "label")).persist()
     each = tokens.select("root", "token", "ord", "category", "names", "texts", F.posexplode("given").alias("pos", "g")).where("g.v is not null")
     each = each.select("root", "token", "ord", "pos", "category", F.col("g.mode").alias("mode"), F.col("g.v").alias("given"), resolve_udf(F.col("g.v"), F.col("names"), F.col("texts")).alias("raw"), category_to_value_type(F.col("category")).alias("value_type"), F.col("category").alias("scope"))
     values = canonicalize(each, keep=["root", "token", "ord", "pos", "mode", "given"])
-    return _fragment(tokens, values)
+    return _fragment(tokens, values.persist())  # parsed once for nodes, edges and failures
 
 
 def _fragment(tokens: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
