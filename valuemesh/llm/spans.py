@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from valuemesh.functions.numbers import let
+
 #: Parts to a block when offsets are summed.
 BLOCK = 128
 SPAN = "struct<start:bigint,end:bigint,hit:string,group:string>"
@@ -34,11 +36,6 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(F.regexp_like(text, regex), let(parts, _spans)).otherwise(none)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once a row, however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _spans(parts: Column) -> Column:
     # Offsets are running sums, and an aggregate that appends copies its array: so blocks of the parts
     # are summed first and then filled, which stays near linear for texts with very many matches.
