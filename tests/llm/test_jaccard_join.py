@@ -94,3 +94,18 @@ def test_drop_and_empty(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
     assert jaccard_join.op9_ngram_jaccard(docs.limit(0)).count() == 0
+
+
+def test_sketch_never_rules_out_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - int(rng.integers(0, n // 4 + 1))], rng.integers(0, 2**63, int(rng.integers(0, n // 4 + 1))).astype(np.uint64)])
+        x, y = (jaccard_join.sketches(np.unique(v), np.zeros(len(np.unique(v)), int), np.array([len(np.unique(v))]))[0] for v in (a, b))
+        if jaccard_join.similar(set(a.tolist()), set(b.tolist())):
+            assert jaccard_join.may_link(x, y, len(set(a.tolist())), len(set(b.tolist())))
+        sizes = np.array([len(set(a.tolist())), len(set(b.tolist()))])
+        assert jaccard_join._near([x, y], sizes, 0, np.array([1]))[0] == jaccard_join.may_link(x, y, *map(int, sizes))

@@ -92,3 +92,72 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last[cut - 1] = inside[cut - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     return start, end, np.searchsorted(offsets, start, side="right") - 1
+
+
+def pack_entries(part: np.ndarray, key: np.ndarray, note: np.ndarray) -> pa.RecordBatch:
+    """One row a part: its keys' low 48 bits and notes of 40 bits, packed (the part holds the top bits)."""
+    order = np.argsort(part, kind="stable")
+    key, note, part = key[order], note[order], part[order]
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    to = np.append(at[1:], len(part))
+    key, note = key.view(np.uint8).reshape(-1, 8)[:, :6], note.view(np.uint8).reshape(-1, 8)[:, :5]
+    blobs = (pa.array([x[a:b].tobytes() for a, b in zip(at, to)], pa.binary()) for x in (key, note))
+    return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), *blobs], ["part", "keys", "notes"])
+
+
+PACKED = "part int, keys binary, notes binary"
+
+
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """A part by the top 32 bits; ``parts`` is below 2**32."""
+    return ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def _wide(blob: pa.Scalar, size: int) -> np.ndarray:
+    got = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, size)
+    out = np.zeros((len(got), 8), np.uint8)
+    out[:, :size] = got
+    return out.view(np.uint64).ravel()
+
+
+def each_part(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, notes) of one part after the other, from rows sorted by part."""
+    now, held = None, []
+    for batch in batches:
+        part = batch.column(0).to_numpy()
+        for i in range(len(part)):
+            if part[i] != now:
+                if held:
+                    yield tuple(np.concatenate(x) for x in zip(*held))
+                now, held = part[i], []
+            held.append((_wide(batch.column(1)[i], 6), _wide(batch.column(2)[i], 5)))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def repeated(key: np.ndarray, note: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, notes, start, length) of the lists of keys that occur more than once; a list's notes are
+    distinct and sorted."""
+    order = np.argsort(key, kind="stable")
+    key, note = key[order], note[order]
+    dup = np.zeros(len(key), bool)
+    dup[1:] = key[1:] == key[:-1]
+    dup[:-1] |= dup[1:]
+    key, note = key[dup], note[dup]
+    order = np.lexsort((note, key))
+    key, note = key[order], note[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (note[1:] != note[:-1])
+    key, note = key[new], note[new]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key, note, at, np.diff(np.append(at, len(key)))
+
+
+def distinct_lists(note: np.ndarray, at: np.ndarray, length: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sig, entry, times) per entry of the kept lists, of equal lists one: times is how many there were."""
+    sig = np.add.reduceat(mix(note + ODD), at)
+    _, first, times = np.unique(sig[keep], return_index=True, return_counts=True)
+    pick = keep[first]
+    size = length[pick]
+    rows = np.repeat(at[pick], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(sig[pick], size), rows, np.repeat(times, size)

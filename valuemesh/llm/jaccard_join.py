@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valuemesh.llm.batches import LOWER, ODD, mix, range_hashes, text_chunks, words
+from valuemesh.llm.batches import LOWER, ODD, PACKED, distinct_lists, each_part, mix, pack_entries, part_of, range_hashes, repeated, text_chunks, words
 from valuemesh.llm.linking import link, verified
 from valuemesh.llm.store import Scratch
 
@@ -159,10 +159,11 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _lists(docs: DataFrame, parts: int) -> DataFrame:
-    """Inverted lists with two or more classes: (sig, cls, n, flag, lists), one sig per distinct list.
+    """Inverted lists with two or more classes: (sig, short, flag, lists), one sig per distinct list.
 
-    Keys travel as packed arrays, a row for each task's flush and part; a part's arrays are sorted in
-    one task, which holds one part at a time.
+    Keys travel packed, a row for each task's flush and part, with 38 bits of the class; a part is
+    sorted in one task, which holds one part at a time. Classes that agree in these bits only make
+    more candidates.
     """
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,75 +176,77 @@ def _lists(docs: DataFrame, parts: int) -> DataFrame:
             own, low = both_bands(s, d, size)
             for (key, doc, flag, _), extra in ((own, OWN), (low, 0)):
                 ok = first[doc]
-                key, doc, flag = key[ok], doc[ok], flag[ok]
-                held.append((key, cls[doc], (size[doc].astype(np.uint32) << np.uint32(2)) | flag | np.uint32(extra)))
-                total += len(key)
+                held.append((key[ok], ((cls[doc[ok]] >> np.uint64(26)) << np.uint64(2)) | flag[ok] | np.uint64(extra)))
+                total += int(ok.sum())
             if total >= FLUSH:
-                yield from packed(held)
+                key, note = (np.concatenate(x) for x in zip(*held))
+                yield pack_entries(part_of(key, parts), key, note)
                 held, total = [], 0
         if total:
-            yield from packed(held)
-
-    def packed(held: list) -> Iterator[pa.RecordBatch]:
-        key, cls, note = (np.concatenate(x) for x in zip(*held))
-        part = ((key >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
-        order = np.argsort(part, kind="stable")
-        key, cls, note, part = key[order], cls[order], note[order], part[order]
-        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        to = np.append(at[1:], len(part))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(part[at].astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in zip(at, to)], pa.binary()) for x in (key, cls, note.astype(np.uint32)))],
-            ["part", "keys", "classes", "notes"],
-        )
+            key, note = (np.concatenate(x) for x in zip(*held))
+            yield pack_entries(part_of(key, parts), key, note)
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            part = batch.column(0).to_numpy()
-            for i in range(len(part)):
-                if part[i] != now:
-                    if held:
-                        yield from lists(held)
-                    now, held = part[i], []
-                held.append(tuple(np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((1, np.uint64), (2, np.uint64), (3, np.uint32))))
-        if held:
-            yield from lists(held)
-
-    def lists(held: list) -> Iterator[pa.RecordBatch]:
-        key, cls, note = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(key, kind="stable")
-        key, cls, note = key[order], cls[order], note[order]
-        dup = np.zeros(len(key), bool)
-        dup[1:] = key[1:] == key[:-1]
-        dup[:-1] |= dup[1:]
-        key, cls, note = key[dup], cls[dup], note[dup]
-        order = np.lexsort((note, cls, key))
-        key, cls, note = key[order], cls[order], note[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (note[1:] != note[:-1])
-        key, cls, note = key[new], cls[new], note[new]
-        if not len(key):
-            return
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        length = np.diff(np.append(at, len(key)))
-        own = np.add.reduceat((note & OWN).astype(np.int64), at)
-        plain = np.add.reduceat(((note & DELETED) == 0).astype(np.int64), at)
-        many = (np.maximum.reduceat(cls, at) != np.minimum.reduceat(cls, at)) & (own > 0) & (plain > 0)
-        sig = np.add.reduceat(mix(cls * np.uint64(4) + (note & np.uint32(3))), at)
-        keep = np.flatnonzero(many)
-        if not len(keep):
-            return
-        _, first, times = np.unique(sig[keep], return_index=True, return_counts=True)
-        pick = keep[first]
-        rows = np.repeat(at[pick], length[pick]) + np.arange(length[pick].sum()) - np.repeat(np.cumsum(length[pick]) - length[pick], length[pick])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(sig[pick], length[pick]).view(np.int64)), pa.array(cls[rows].view(np.int64)), pa.array((note[rows] >> np.uint32(2)).astype(np.int64)), pa.array((note[rows] & np.uint32(3)).astype(np.int32)), pa.array(np.repeat(times, length[pick]), pa.int64())],
-            ["sig", "cls", "n", "flag", "lists"],
-        )
-
-    sent = docs.select("doc_id", "text").mapInArrow(emit, "part int, keys binary, classes binary, notes binary")
+        for key, note in each_part(batches):
+            key, note, at, length = repeated(key, note)
+            if not len(at):
+                continue
+            own = np.bitwise_or.reduceat(note & np.uint64(OWN), at) > 0
+            plain = np.bitwise_or.reduceat(~note & np.uint64(DELETED), at) > 0
+            low, high = np.minimum.reduceat(note, at) >> np.uint64(2), np.maximum.reduceat(note, at) >> np.uint64(2)
+            keep = np.flatnonzero(own & plain & (low != high))
+            if len(keep):
+                sig, rows, times = distinct_lists(note, at, length, keep)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sig.view(np.int64)), pa.array((note[rows] >> np.uint64(2)).astype(np.int64)), pa.array((note[rows] & np.uint64(3)).astype(np.int32)), pa.array(times, pa.int64())],
+                    ["sig", "short", "flag", "lists"],
+                )
+
+    sent = docs.select("doc_id", "text").mapInArrow(emit, PACKED)
     dealt = sent.repartition(F.col("part")).sortWithinPartitions("part")
-    return dealt.mapInArrow(gather, "sig bigint, cls bigint, n bigint, flag int, lists bigint")
+    return dealt.mapInArrow(gather, "sig bigint, short bigint, flag int, lists bigint")
+
+
+def sketches(s: np.ndarray, d: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Per text the number of its shingles in each of 2**k hash ranges, about four to a range.
+
+    Two sets cannot share more than the sum of the lesser counts: an exact bound on the intersection.
+    A count above 254 gives an empty sketch, which bounds nothing.
+    """
+    h, out = mix(s ^ np.uint64(0x5851F42D4C957F2D)), []
+    first = np.concatenate([[0], np.cumsum(size)])
+    for i, n in enumerate(size):
+        bits = max(0, int(n // 4).bit_length())
+        own = h[first[i] : first[i + 1]]
+        count = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(n, np.int64), minlength=1 << bits)
+        out.append(count.astype(np.uint8).tobytes() if count.max(initial=0) < 255 else b"")
+    return out
+
+
+def may_link(a: bytes, b: bytes, n: int, m: int) -> bool:
+    """Whether the sketches of sets of n and m shingles leave the similarity possible."""
+    if not a or not b:
+        return True
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    while len(x) > len(y):
+        x = x[0::2] + x[1::2]
+    while len(y) > len(x):
+        y = y[0::2] + y[1::2]
+    most = int(np.minimum(x, y).sum())
+    return 100 * most >= PER_CENT * (n + m - most)
+
+
+def _screened(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, open): whether a pair's sketches leave it possible."""
+    one = texts.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("asketch"))
+    two = texts.select(F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bsketch"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            rows = zip(x.column(2), x.column(4), x.column(3).to_pylist(), x.column(5).to_pylist())
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array([may_link(a.as_py(), b.as_py(), n, m) for a, b, n, m in rows], pa.bool_())], ["a", "b", "open"])
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "asketch", "an", "bsketch", "bn").mapInArrow(run, "a bigint, b bigint, open boolean")
 
 
 def _shingle_set(text: str | None) -> set:
@@ -256,14 +259,36 @@ def similar(a: set, b: set) -> bool:
     return 100 * both >= PER_CENT * (len(a) + len(b) - both) and both > 0
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    return verified(pairs, texts, _shingle_set, similar)
+def _verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, linked): by sketch where that rules a pair out, else on the words."""
+    screened = scratch.write(_screened(pairs, texts))
+    exact = verified(screened.where("open").select("a", "b"), texts.select("cls", "text"), _shingle_set, similar)
+    return exact.union(screened.where("not open").select("a", "b", F.lit(False)))
 
 
-def _possible(n: Column, flag: Column, other_n: Column, other_flag: Column) -> Column:
-    """Sizes allow the similarity; not both are deletions, nor both from the upper band."""
+def _possible(n, flag, other_n, other_flag):
+    """Sizes allow the similarity; not both are deletions, nor both from the upper band. Columns or arrays."""
     sizes = (n * 100 >= other_n * PER_CENT) & (other_n * 100 >= n * PER_CENT)
-    return sizes & (flag.bitwiseAND(other_flag).bitwiseAND(DELETED) == 0) & (flag.bitwiseOR(other_flag).bitwiseAND(OWN) > 0)
+    if isinstance(flag, Column):
+        return sizes & (flag.bitwiseAND(other_flag).bitwiseAND(DELETED) == 0) & (flag.bitwiseOR(other_flag).bitwiseAND(OWN) > 0)
+    return sizes & ((flag & other_flag & DELETED) == 0) & (((flag | other_flag) & OWN) > 0)
+
+
+def _near(sketch: list[bytes], n: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """:func:`may_link` of i with each of the others, those of one sketch length at a time."""
+    out = np.ones(len(others), bool)
+    length = np.array([len(sketch[j]) for j in others])
+    for size in np.unique(length[length > 0]) if sketch[i] else ():
+        at = np.flatnonzero(length == size)
+        table = np.frombuffer(b"".join(sketch[j] for j in others[at]), np.uint8).reshape(-1, size).astype(np.int16)
+        mine = np.frombuffer(sketch[i], np.uint8).astype(np.int16)
+        while table.shape[1] > len(mine):
+            table = table[:, 0::2] + table[:, 1::2]
+        while len(mine) > table.shape[1]:
+            mine = mine[0::2] + mine[1::2]
+        most = np.minimum(table, mine).sum(axis=1, dtype=np.int64)
+        out[at] = 100 * most >= PER_CENT * (n[i] + n[others[at]] - most)
+    return out
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -274,11 +299,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = scratch.write(_rows(docs))
     heads = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("cap_own").alias("cap_own"), F.first("cap_low").alias("cap_low"))
-    lists = scratch.write(_lists(docs, parts).groupBy("sig", "cls", "n", "flag").agg(F.sum("lists").alias("lists")))
+    short = heads.select("cls", "n", F.shiftrightunsigned("cls", 26).alias("short"))
+    lists = scratch.write(_lists(docs, parts).groupBy("sig", "short", "flag").agg(F.sum("lists").alias("lists")).join(short, "short").drop("short"))
     member = lists.select("cls").distinct().join(heads, "cls")
     texts = scratch.write(_texts(docs, member))
 
-    roots = link(scratch, lists, lambda pairs: _verified(pairs, texts), _possible, lambda sized: _kept_of_long(sized, member))
+    roots = link(scratch, lists, lambda pairs: _verified(scratch, pairs, texts), _possible, texts.select("cls", "sketch"), _near, lambda sized: _kept_of_long(sized, member))
     head = heads.select("cls", "head").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = head.groupBy("root").agg(F.min("head").alias("component_id"))
     by_class = scratch.write(head.join(least, "root").select("cls", "component_id"))
@@ -287,15 +313,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, member: DataFrame) -> DataFrame:
-    """(cls, text): one text for each class that is in a list."""
+    """(cls, text, n, sketch): one text for each class that is in a list."""
     found = docs.join(member.select(F.col("cls").alias("want"), "head"), F.col("doc_id").eqNullSafe(F.col("head"))).select("want", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches):
-            cls, _ = classes(*shingles(LOWER[data], offsets), len(offsets) - 1)
-            yield rows.filter(pa.array(cls.view(np.int64) == rows.column(0).to_numpy()))  # rows may share an id
+            s, d = shingles(LOWER[data], offsets)
+            cls, size = classes(s, d, len(offsets) - 1)
+            got = pa.RecordBatch.from_arrays([*rows.columns, pa.array(size, pa.int64()), pa.array(sketches(s, d, size), pa.binary())], ["cls", "text", "n", "sketch"])
+            yield got.filter(pa.array(cls.view(np.int64) == rows.column(0).to_numpy()))  # rows may share an id
 
-    return found.mapInArrow(run, "cls bigint, text string").dropDuplicates(["cls"])
+    return found.mapInArrow(run, "cls bigint, text string, n bigint, sketch binary").dropDuplicates(["cls"])
 
 
 def _kept_of_long(sized: DataFrame, member: DataFrame) -> DataFrame:

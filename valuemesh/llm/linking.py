@@ -4,13 +4,14 @@
 list. Round by round, members are compared with their list's pivot (the member of least rank, another
 rank each round, the same over all lists so that the lists of one group share few pivots). Then only
 lists remain that span several components, and of those only pairs of different components are
-compared. A group of near copies costs about its size; hot lists and pivots are salted over tasks.
+compared, first by sketches. A group of near copies costs about its size; hot lists are split by adaptive execution, hot pivots salted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,45 +20,85 @@ from valuemesh.llm.store import Scratch, components
 
 PIVOT_ROUNDS = 2
 SALTS = 32
-CROSS_SALTS = 4
+BLOCK = 2048
 DELETED = 2
 
 
-def salted_join(lists: DataFrame, few: DataFrame) -> DataFrame:
-    """``lists`` with the columns of ``few`` (one row a sig); long lists are spread over SALTS tasks."""
-    salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")
-    spread = few.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return lists.withColumn("salt", salt).join(spread, ["sig", "salt"]).drop("salt")
+def with_list(lists: DataFrame, few: DataFrame) -> DataFrame:
+    """``lists`` with the columns of ``few`` (one row a sig); adaptive execution splits a hot list."""
+    return lists.join(few, "sig")
 
 
 def _stars(lists: DataFrame, turn: int, possible: Callable[..., Column]) -> DataFrame:
     """(a, b): every member of a list with the list's pivot, the plain member of least rank."""
     rank = F.struct(F.xxhash64("cls", F.lit(turn)).alias("r"), F.col("cls").alias("a"), F.col("n").alias("an"), F.col("flag").alias("aflag"), F.col("root").alias("aroot"))
     pivot = lists.where(F.col("flag").bitwiseAND(DELETED) == 0).groupBy("sig").agg(F.min(rank).alias("p")).select("sig", "p.a", "p.an", "p.aflag", "p.aroot")
-    met = salted_join(lists, pivot).where(possible(F.col("n"), F.col("flag"), F.col("an"), F.col("aflag")))
+    met = with_list(lists, pivot).where(possible(F.col("n"), F.col("flag"), F.col("an"), F.col("aflag")))
     return met.where("root <> aroot").select("a", F.col("cls").alias("b"))
 
 
-def _cross(some: DataFrame, possible: Callable[..., Column]) -> DataFrame:
-    """(a, b): all pairs of a list that are in different components, dealt in blocks."""
-    one = some.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(CROSS_SALTS)])))
-    other = some.select("sig", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("flag").alias("bflag"), F.col("root").alias("broot"), F.pmod(F.xxhash64("cls"), F.lit(CROSS_SALTS)).cast("int").alias("salt"))
-    met = one.join(other, ["sig", "salt"]).where((F.col("cls") < F.col("b")) & (F.col("root") != F.col("broot")) & possible(F.col("n"), F.col("flag"), F.col("bn"), F.col("bflag")))
-    return met.select(F.col("cls").alias("a"), "b")
+def list_blocks(some: DataFrame, sketches: DataFrame, size: int) -> DataFrame:
+    """Members of each list with their sketch, dealt in blocks of about ``size`` members: (sig, x, y, mine,
+    cls, n, flag, root, sketch) for every two blocks x <= y of a list; a short list is one block."""
+    n = some.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")).cast("int")
+    placed = with_list(some, n).join(sketches, "cls").withColumn("mine", own)
+    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.select("sig", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cls", "n", "flag", "root", "sketch")
 
 
-def link(scratch: Scratch, lists: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[..., Column], of_long: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, root) of every class that is linked. ``verify`` turns pairs (a, b) into (a, b, linked);
-    ``possible`` tells from n and flag of two members whether they can be; ``of_long`` leaves out
-    memberships whose links other lists are sure to hold."""
+def _cross(some: DataFrame, sketches: DataFrame, near: Callable, possible: Callable) -> DataFrame:
+    """(a, b): the pairs of a list that are in different components and that ``near`` leaves possible.
+
+    Pairs are looked at where the list is, two blocks at a time; only possible ones become rows.
+    """
+
+    def pairs_of(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        mine, cls, n, flag, root = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 2, 3, 4))
+        sketch = [h[5] for h in held]
+        one, two = np.flatnonzero(mine == mine.min()), np.flatnonzero(mine == mine.max())
+        for i in one:
+            to = two[(root[two] != root[i]) & (cls[two] != cls[i])]
+            to = to[possible(n[to], flag[to], n[i], flag[i])]
+            if mine[i] == mine.max():
+                to = to[to > i]  # both in one block: each pair once
+            if len(to):
+                to = to[near(sketch, n, int(i), to)]
+            if len(to):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[to])), pa.array(np.maximum(cls[i], cls[to]))], ["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in range(9)]
+            for sig, x, y, *row in zip(*columns):
+                if (sig, x, y) != now:
+                    if len(held) > 1:
+                        yield from pairs_of(held)
+                    now, held = (sig, x, y), []
+                held.append(tuple(row))
+        if len(held) > 1:
+            yield from pairs_of(held)
+
+    dealt = list_blocks(some, sketches, BLOCK).repartition(F.col("sig"), F.col("x"), F.col("y")).sortWithinPartitions("sig", "x", "y")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def link(scratch: Scratch, lists: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable, sketches: DataFrame, near: Callable, of_long: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, root) of every class that is linked.
+
+    ``verify`` turns pairs (a, b) into (a, b, linked). ``possible(n, flag, n, flag)`` tells from the sizes
+    and flags of members (columns, or arrays) whether they can be; ``near(sketches, sizes, i, others)``
+    from the sketches (cls, sketch) which of the others can be linked with i: both may only rule out
+    what is sure not to be linked. ``of_long`` leaves out memberships whose links other lists hold."""
     tried = None
     open_lists = lists.withColumn("root", F.col("cls"))
     for turn in range(PIVOT_ROUNDS + 1):
         last = turn == PIVOT_ROUNDS
         if last and of_long:
             size = open_lists.groupBy("sig").agg(F.approx_count_distinct("root", 0.05).alias("roots"))
-            open_lists = of_long(scratch.write(salted_join(open_lists, size)))
-        pairs = _cross(open_lists, possible) if last else _stars(open_lists, turn, possible)
+            open_lists = of_long(scratch.write(with_list(open_lists, size)))
+        pairs = _cross(open_lists, sketches, near, possible) if last else _stars(open_lists, turn, possible)
         pairs = pairs.where("a <> b").distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
@@ -68,7 +109,7 @@ def link(scratch: Scratch, lists: DataFrame, verify: Callable[[DataFrame], DataF
             break
         rooted = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         mixed = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-        open_lists = scratch.write(salted_join(rooted, mixed))
+        open_lists = scratch.write(with_list(rooted, mixed))
         if open_lists.isEmpty():
             break
     return roots
