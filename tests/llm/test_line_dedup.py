@@ -94,3 +94,14 @@ def test_driver_documents(spark):
     have = {(d, i) for d, places in got.items() for i in places}
     assert {e for e in exact if not dict(rows)[e[0]].split("\n")[e[1]].isspace() and dict(rows)[e[0]].split("\n")[e[1]]} <= have
     assert list(itertools.islice(have, 1))
+
+
+def test_sketch_never_rules_out_near_lines():
+    import numpy as np
+
+    rng = random.Random(7)
+    for _ in range(500):
+        a = "".join(rng.choice("abcdé ") for _ in range(rng.randrange(20, 90)))
+        b = edited(rng, a, rng.randrange(0, 3))
+        x = line_dedup.sketches([a, b])
+        assert line_dedup._near(x, np.array([len(a), len(b)]), 0, np.array([1]))[0]

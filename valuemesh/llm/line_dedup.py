@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valuemesh.llm.batches import ODD, _powers, mix, text_chunks
+from valuemesh.llm.batches import ODD, PACKED, _powers, distinct_lists, each_part, mix, pack_entries, part_of, repeated, text_chunks
 from valuemesh.llm.linking import link, verified
 from valuemesh.llm.store import Scratch
 
@@ -33,6 +33,7 @@ LEAST = 20
 FLUSH = 1 << 19
 CHUNK = 1 << 19
 INDEX = 1
+GRAM = 3
 
 
 def band_distance(p: str, t: str, most: int) -> int:
@@ -150,7 +151,10 @@ def _all_lines(docs: DataFrame) -> DataFrame:
 
 
 def _lists(docs: DataFrame, parts: int) -> DataFrame:
-    """Lists of two or more classes that share a key: (sig, cls, n, flag), one sig per distinct list."""
+    """Lists of two or more classes that share a key: (sig, short, flag), one sig per distinct list.
+
+    Keys travel packed, with 39 bits of the class; classes that agree in them only make more candidates.
+    """
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -161,87 +165,95 @@ def _lists(docs: DataFrame, parts: int) -> DataFrame:
             first = np.unique(cls, return_index=True)[1]  # equal lines of a chunk once
             pick = first[codes.length[first] >= LEAST]
             for key, line, flag in substring_keys(codes, pick):
-                held.append((key, cls[line], (codes.length[line].astype(np.uint32) << np.uint32(1)) | np.uint32(flag)))
+                held.append((key, ((cls[line] >> np.uint64(25)) << np.uint64(1)) | np.uint64(flag)))
                 total += len(key)
             if total >= FLUSH:
-                yield packed(held)
+                key, note = (np.concatenate(x) for x in zip(*held))
+                yield pack_entries(part_of(key, parts), key, note)
                 held, total = [], 0
         if total:
-            yield packed(held)
-
-    def packed(held: list) -> pa.RecordBatch:
-        key, cls, note = (np.concatenate(x) for x in zip(*held))
-        part = ((key >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
-        order = np.argsort(part, kind="stable")
-        key, cls, note, part = key[order], cls[order], note[order], part[order]
-        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        to = np.append(at[1:], len(part))
-        blobs = (pa.array([x[a:b].tobytes() for a, b in zip(at, to)], pa.binary()) for x in (key, cls, note))
-        return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), *blobs], ["part", "keys", "classes", "notes"])
+            key, note = (np.concatenate(x) for x in zip(*held))
+            yield pack_entries(part_of(key, parts), key, note)
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            part = batch.column(0).to_numpy()
-            for i in range(len(part)):
-                if part[i] != now:
-                    if held:
-                        yield from lists(held)
-                    now, held = part[i], []
-                held.append(tuple(np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((1, np.uint64), (2, np.uint64), (3, np.uint32))))
-        if held:
-            yield from lists(held)
-
-    def lists(held: list) -> Iterator[pa.RecordBatch]:
-        key, cls, note = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(key, kind="stable")
-        key, cls, note = key[order], cls[order], note[order]
-        dup = np.zeros(len(key), bool)
-        dup[1:] = key[1:] == key[:-1]
-        dup[:-1] |= dup[1:]
-        key, cls, note = key[dup], cls[dup], note[dup]
-        order = np.lexsort((~note, cls, key))  # a class's index entry before its probes
-        key, cls, note = key[order], cls[order], note[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls, note = key[new], cls[new], note[new]
-        if not len(key):
-            return
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        length = np.diff(np.append(at, len(key)))
-        many = (length > 1) & (np.bitwise_or.reduceat(note & np.uint32(INDEX), at) > 0)
-        sig = np.add.reduceat(mix(cls * np.uint64(2) + (note & np.uint32(INDEX))), at)
-        keep = np.flatnonzero(many)
-        if not len(keep):
-            return
-        pick = keep[np.unique(sig[keep], return_index=True)[1]]
-        size = length[pick]
-        rows = np.repeat(at[pick], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(sig[pick], size).view(np.int64)), pa.array(cls[rows].view(np.int64)), pa.array((note[rows] >> np.uint32(1)).astype(np.int64)), pa.array((note[rows] & np.uint32(INDEX)).astype(np.int32))],
-            ["sig", "cls", "n", "flag"],
-        )
-
-    sent = docs.select("text").mapInArrow(emit, "part int, keys binary, classes binary, notes binary")
-    return sent.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(gather, "sig bigint, cls bigint, n bigint, flag int")
-
-
-def _possible(n: Column, flag: Column, other_n: Column, other_flag: Column) -> Column:
-    return (F.abs(n - other_n) <= EDITS) & (flag.bitwiseOR(other_flag).bitwiseAND(INDEX) > 0)
+        one = np.uint64(1)
+        for key, note in each_part(batches):
+            key, note, at, length = repeated(key, note)
+            if not len(at):
+                continue
+            indexed = np.bitwise_or.reduceat(note & one, at) > 0
+            keep = np.flatnonzero(indexed & (np.minimum.reduceat(note, at) >> one != np.maximum.reduceat(note, at) >> one))
+            if len(keep):
+                sig, rows, _ = distinct_lists(note, at, length, keep)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array((note[rows] >> one).astype(np.int64)), pa.array((note[rows] & one).astype(np.int32))], ["sig", "short", "flag"])
+
+    sent = docs.select("text").mapInArrow(emit, PACKED)
+    return sent.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(gather, "sig bigint, short bigint, flag int")
+
+
+def _possible(n, flag, other_n, other_flag):
+    """Lengths allow the distance, and one of the two is indexed under the key. Columns or arrays."""
+    if isinstance(flag, Column):
+        return (F.abs(n - other_n) <= EDITS) & (flag.bitwiseOR(other_flag).bitwiseAND(INDEX) > 0)
+    return (np.abs(n - other_n) <= EDITS) & (((flag | other_flag) & INDEX) > 0)
+
+
+def sketches(lines: list[str]) -> list[bytes]:
+    """Per line the number of its 3-grams in each of 128 buckets, 255 at most.
+
+    One edit changes three 3-grams at most, so near lines differ by 2 * 3 * EDITS in all at most.
+    """
+    codes = _Codes(lines)
+    n = np.maximum(codes.length - GRAM + 1, 0)
+    start = np.repeat(codes.start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    bucket = (codes.hash(start, np.full(len(start), GRAM)) >> np.uint64(57)).astype(np.int64)
+    count = np.bincount(np.repeat(np.arange(len(lines)), n) * 128 + bucket, minlength=128 * len(lines))
+    return [row.tobytes() for row in np.minimum(count, 255).astype(np.uint8).reshape(-1, 128)]
+
+
+def _near(sketch: list[bytes], n: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    table = np.frombuffer(b"".join(sketch[j] for j in others), np.uint8).reshape(-1, 128).astype(np.int16)
+    return np.abs(table - np.frombuffer(sketch[i], np.uint8).astype(np.int16)).sum(axis=1) <= 2 * GRAM * EDITS
+
+
+def _screened(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their sketches leave possible."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            one, two = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(-1, 128).astype(np.int16) for c in (2, 3))
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(np.abs(one - two).sum(axis=1) <= 2 * GRAM * EDITS)], ["a", "b", "open"])
+
+    one = texts.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"))
+    two = texts.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, open boolean")
+
+
+def _verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, linked): by sketch where that rules a pair out, else by edit distance."""
+    screened = scratch.write(_screened(pairs, texts))
+    exact = verified(screened.where("open").select("a", "b"), texts.select("cls", "text"), lambda t: t, _same)
+    return exact.union(screened.where("not open").select("a", "b", F.lit(False)))
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, text) of the wanted classes."""
+    """(cls, text, n, sketch) of the lines whose class has one of the wanted ``short`` forms."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, _ in text_chunks(batches, size=CHUNK):
             lines, _, _ = _lines(_texts_of(rows))
             cls = _Codes(lines).whole()
-            first = np.unique(cls, return_index=True)[1]
-            first = first[[len(lines[i]) >= LEAST for i in first]] if len(first) else first
+            first = [i for i in np.unique(cls, return_index=True)[1] if len(lines[i]) >= LEAST]
             yield pa.RecordBatch.from_arrays([pa.array(cls[first].view(np.int64)), pa.array([lines[i] for i in first], pa.string())], ["cls", "text"])
 
-    return docs.select("text").mapInArrow(run, "cls bigint, text string").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    def sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            lines = x.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array([len(t) for t in lines], pa.int64()), pa.array(sketches(lines), pa.binary())], ["cls", "text", "n", "sketch"])
+
+    every = docs.select("text").mapInArrow(run, "cls bigint, text string").withColumn("short", F.shiftrightunsigned("cls", 25))
+    found = every.join(wanted, "short", "left_semi").select("cls", "text").dropDuplicates(["cls"])
+    return found.mapInArrow(sketched, "cls bigint, text string, n bigint, sketch binary")
 
 
 def _same(a: str, b: str) -> bool:
@@ -253,10 +265,11 @@ def line_classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     spark = docs.sparkSession
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = scratch.write(_all_lines(docs))
-    lists = scratch.write(_lists(docs, parts).dropDuplicates(["sig", "cls", "flag"]))
-    texts = scratch.write(_line_texts(docs, lists.select("cls").distinct()))
-    roots = link(scratch, lists, lambda pairs: verified(pairs, texts, lambda t: t, _same), _possible)
-    scratch.drop(lists, texts)
+    short = scratch.write(_lists(docs, parts).distinct())
+    texts = scratch.write(_line_texts(docs, short.select("short").distinct()))
+    lists = scratch.write(short.join(texts.select("cls", "n", F.shiftrightunsigned("cls", 25).alias("short")), "short").drop("short"))
+    roots = link(scratch, lists, lambda pairs: _verified(scratch, pairs, texts), _possible, texts.select("cls", "sketch"), _near)
+    scratch.drop(short, lists, texts)
     return every, roots.withColumnRenamed("node", "line")
 
 
