@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from valuemesh.llm.batches import LOWER, ODD, PACKED, distinct_lists, each_part, mix, pack_entries, part_of, range_hashes, repeated, text_chunks, words
 from valuemesh.llm.linking import link, verified
-from valuemesh.llm.store import Scratch
+from valuemesh.llm.store import Scratch, bit_filter, prefiltered
 
 WIDTH = 5
 #: Links have 100 * intersection >= 80 * union. The bounds below are for this similarity.
@@ -314,7 +314,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, member: DataFrame) -> DataFrame:
     """(cls, text, n, sketch): one text for each class that is in a list."""
-    found = docs.join(member.select(F.col("cls").alias("want"), "head"), F.col("doc_id").eqNullSafe(F.col("head"))).select("want", "text")
+    some = prefiltered(docs.select("doc_id", "text"), "doc_id", bit_filter(member, "head"))
+    found = some.join(member.select(F.col("cls").alias("want"), "head"), F.col("doc_id").eqNullSafe(F.col("head"))).select("want", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches):

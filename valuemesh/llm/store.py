@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,39 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Bits of a filter: 4 MB, whatever the number of keys.
+FILTER_BITS = 1 << 25
+
+
+def bit_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """A filter of fixed size over long keys, by their low bits; see :func:`passes`. With very many keys it
+    lets more through; it never holds a key back."""
+    low = F.col(key).bitwiseAND(FILTER_BITS - 1)
+    rows = keys.where(F.col(key).isNotNull()).select(F.shiftright(low, 15).alias("bucket"), low.bitwiseAND(32767).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:  # FILTER_BITS / 32768 rows at most
+        out[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    low = keys.astype(np.int64) & (FILTER_BITS - 1)
+    return (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0
+
+
+def prefiltered(df: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
+    """The rows whose key (first column) may be among the filter's, before they are shuffled; null keys stay."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            known = pc.fill_null(ids, 0).to_numpy()
+            yield batch.filter(pa.array(passes(bits, known) | ids.is_null().to_numpy(zero_copy_only=False)))
+
+    assert df.columns[0] == key
+    return df.mapInArrow(run, df.schema)
+
+
 def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the least node reachable, for every node of an edge. Edges are (a, b), long.
 
