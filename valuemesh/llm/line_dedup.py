@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from valuemesh.llm.batches import ODD, PACKED, _powers, distinct_lists, each_part, mix, pack_entries, part_of, repeated, text_chunks
 from valuemesh.llm.linking import link, verified
-from valuemesh.llm.store import Scratch
+from valuemesh.llm.store import Scratch, bit_filter, passes
 
 EDITS = 2
 LEAST = 20
@@ -237,13 +237,17 @@ def _verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame) -> DataFrame
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, text, n, sketch) of the lines whose class has one of the wanted ``short`` forms."""
+    """(cls, text, n, sketch) of the lines whose class has one of the wanted ``short`` forms. A filter of
+    fixed size keeps most other lines from being shuffled."""
+    bits = bit_filter(wanted, "short")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, _ in text_chunks(batches, size=CHUNK):
             lines, _, _ = _lines(_texts_of(rows))
             cls = _Codes(lines).whole()
-            first = [i for i in np.unique(cls, return_index=True)[1] if len(lines[i]) >= LEAST]
+            first = np.unique(cls, return_index=True)[1]
+            first = first[passes(bits, cls[first] >> np.uint64(25))]
+            first = [i for i in first if len(lines[i]) >= LEAST]
             yield pa.RecordBatch.from_arrays([pa.array(cls[first].view(np.int64)), pa.array([lines[i] for i in first], pa.string())], ["cls", "text"])
 
     def sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
