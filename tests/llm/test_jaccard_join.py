@@ -109,3 +109,20 @@ def test_sketch_never_rules_out_a_link():
             assert jaccard_join.may_link(x, y, len(set(a.tolist())), len(set(b.tolist())))
         sizes = np.array([len(set(a.tolist())), len(set(b.tolist()))])
         assert jaccard_join._near([x, y], sizes, 0, np.array([1]))[0] == jaccard_join.may_link(x, y, *map(int, sizes))
+
+
+def test_sets_in_one_segment_stay_in_long_lists(spark, monkeypatch):
+    """Sets of 8 and 10 shingles, all in one segment of band 0, meet on the keys of its empty segments only."""
+    import numpy as np
+
+    monkeypatch.setattr(jaccard_join, "LONG", 3)
+    rng, rows = random.Random(4), []
+    for i in range(40):
+        w = ["s%d" % rng.randrange(10**6) for _ in range(4)]
+        while len(w) < 14:
+            text = " ".join([*w, "s%d" % rng.randrange(10**6)]).encode()
+            s, _ = jaccard_join.shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+            if int(s.max() >> np.uint64(32)) * 3 >> 32 == 0:
+                w = text.decode().split()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:12]))]
+    check(spark, rows)

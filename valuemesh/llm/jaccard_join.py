@@ -133,7 +133,7 @@ def keys(s: np.ndarray, d: np.ndarray, size: np.ndarray, k: np.ndarray, take: np
         empty = np.setdiff1d(np.arange(m[i], dtype=np.uint64), seg[d == i])
         if len(empty):
             out.append((mix(mix(np.full(len(empty), k[i] + 1, np.uint64) * ODD + empty)), np.full(len(empty), i), np.zeros(len(empty), np.uint8)))
-    cap[short] = np.iinfo(np.int32).max // 2  # complete whatever the lists
+    cap[short] = 0  # complete with all their lists only: they stay in the long ones
     return *(np.concatenate(x) for x in zip(*out)), cap
 
 
