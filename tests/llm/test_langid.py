@@ -28,3 +28,20 @@ def test_odd_rows(spark):
     assert langid.op3_langid(docs.limit(0)).count() == 0
     assert {r.doc_id for r in langid.drop_unidentified(docs, 0.0).collect()} == {1, 2, 6, None}
     assert langid.drop_unidentified(docs).columns == docs.columns
+
+
+def test_document_frequencies_cover_all_that_is_not_held_out(spark, monkeypatch):
+    import numpy as np
+
+    rows = [(i, f"text {'abcdefghij'[i % 10] * 3} {'é' * (i % 3)}" if i % 7 else "12", "en" if i % 2 else None) for i in range(1500)] + [(2000, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    want, texts = np.zeros(langid.BUCKETS), 0
+    for d, t, _ in rows:
+        if zlib.crc32(str(d).encode()) % 4 != 2 and (got := langid.grams(*langid.normalise([t or ""]))) and sum(len(b) for b, _ in got):
+            want[np.unique(np.concatenate([b for b, _ in got]))] += 1
+            texts += 1
+    given = []
+    plain = langid.train
+    monkeypatch.setattr(langid, "train", lambda *a, **k: given.append(k["frequencies"]) or plain(*a, **k))
+    langid.fit(docs)
+    assert given[0][0] == texts and np.array_equal(given[0][1], want)

@@ -1,7 +1,8 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Features are hashed 1- to 3-grams of the lower-cased text in which everything but letters became one
-space; a text's weights are relative frequency times inverse document frequency. Training is
+space; a text's weights are relative frequency times inverse document frequency, counted over all texts
+that are not held out. Training is
 follow-the-regularised-leader with elastic-net penalties on a bounded sample of labelled rows
 (PER_LABEL rows a label and LABELS labels at most; documented parameters), a fifth of which is held
 back to fit the softmax temperature. Prediction covers every whole text: one pass, no shuffle; the
@@ -105,8 +106,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
-    """Fits weights and temperature on the given sample."""
+def train(texts: list[str], langs: list[str], seed: int = 7, frequencies: tuple[int, np.ndarray] | None = None) -> Model:
+    """Fits weights and temperature on the given sample; ``frequencies`` (texts, and of each bucket the
+    texts that hold it) are of the whole corpus, else of the sample."""
     labels = sorted(set(langs))
     number = {v: i for i, v in enumerate(labels)}
     rng = np.random.default_rng(seed)
@@ -121,10 +123,10 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             if got and sum(len(b) for b, _ in got):
                 bucket, n = np.unique(np.concatenate([b for b, _ in got]), return_counts=True)
                 samples.append((bucket, n / n.sum(), number[lang]))
-    seen = np.zeros(BUCKETS)
-    for bucket, _, _ in samples:
+    total, seen = (len(samples), np.zeros(BUCKETS)) if frequencies is None else frequencies
+    for bucket, _, _ in samples if frequencies is None else ():
         seen[bucket] += 1
-    idf = np.log((1 + len(samples)) / (1 + seen)) + 1
+    idf = np.log((1 + total) / (1 + seen)) + 1
     k = len(labels)
     z, n = np.zeros((BUCKETS, k)), np.zeros((BUCKETS, k))
     zb, nb = np.zeros(k), np.zeros(k)
@@ -173,6 +175,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def document_frequencies(docs: DataFrame, usable: Column) -> tuple[int, np.ndarray]:
+    """(texts with a letter, of each bucket the texts that hold one of its n-grams) over all usable rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from valuemesh.llm.batches import text_chunks
+
+        seen = np.zeros(BUCKETS + 1, np.int64)  # the last is the number of texts
+        for rows, _, _ in text_chunks(batches, size=CHUNK):
+            codes, offsets = normalise(pc.fill_null(rows.column(0), "").to_pylist())
+            seen[BUCKETS] += int((np.diff(offsets) > 0).sum())
+            held = [doc.astype(np.int64) * BUCKETS + bucket for bucket, doc in grams(codes, offsets) if len(doc)]
+            if held:
+                seen[:BUCKETS] += np.bincount(np.unique(np.concatenate(held)) % BUCKETS, minlength=BUCKETS)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["bucket", "n"])
+
+    counted = docs.where(usable).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket bigint, n bigint")
+    out = np.zeros(BUCKETS + 1)
+    for r in counted.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r["bucket"]] = r["n"]
+    return int(out[BUCKETS]), out[:BUCKETS]
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs``."""
 
@@ -190,7 +215,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def fit(docs: DataFrame) -> Model:
     """A model from the rows that are not held out."""
-    return train(*sample(docs, ~held_out(F.col("doc_id"))))
+    usable = ~held_out(F.col("doc_id"))
+    return train(*sample(docs, usable), frequencies=document_frequencies(docs, usable))
 
 
 def op3_langid(docs: DataFrame) -> DataFrame:
