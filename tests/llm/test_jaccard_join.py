@@ -3,7 +3,7 @@
 import random
 import re
 
-from valuemesh.llm import jaccard_join
+from valuemesh.llm import blocks, jaccard_join
 
 
 def shingle_set(t):
@@ -68,8 +68,9 @@ def test_small_and_odd_sets(spark, monkeypatch):
 
 
 def test_common_passage_and_large_group(spark, monkeypatch):
-    """A passage in many otherwise different texts makes long lists; a large group makes long chains."""
-    monkeypatch.setattr(jaccard_join, "LONG", 3)
+    """A passage in many otherwise different texts makes long lists, here of many blocks; a large group
+    makes long chains."""
+    monkeypatch.setattr(blocks, "BLOCK", 7)
     rng = random.Random(2)
     passage = ["p%d" % i for i in range(60)]
     rows = []
@@ -100,22 +101,41 @@ def test_sketch_never_rules_out_a_link():
     import numpy as np
 
     rng = np.random.default_rng(3)
+    linked = ruled_out = 0
     for _ in range(300):
         n = int(rng.integers(1, 400))
-        a = rng.integers(0, 2**63, n).astype(np.uint64)
-        b = np.concatenate([a[: n - int(rng.integers(0, n // 4 + 1))], rng.integers(0, 2**63, int(rng.integers(0, n // 4 + 1))).astype(np.uint64)])
-        x, y = (jaccard_join.sketches(np.unique(v), np.zeros(len(np.unique(v)), int), np.array([len(np.unique(v))]))[0] for v in (a, b))
-        if jaccard_join.similar(set(a.tolist()), set(b.tolist())):
-            assert jaccard_join.may_link(x, y, len(set(a.tolist())), len(set(b.tolist())))
-        sizes = np.array([len(set(a.tolist())), len(set(b.tolist()))])
-        assert jaccard_join._near([x, y], sizes, 0, np.array([1]))[0] == jaccard_join.may_link(x, y, *map(int, sizes))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        k = int(rng.integers(0, n // 4 + 1))
+        b = np.unique(np.concatenate([a[: len(a) - k], rng.integers(0, 2**63, int(rng.integers(0, n // 4 + 1))).astype(np.uint64)]))
+        sizes = np.array([len(a), len(b)])
+        x, y = (jaccard_join.sketches(v, np.zeros(len(v), int), np.array([len(v)]))[0] for v in (a, b))
+        possible = bool(jaccard_join.near(sizes, [x, y])(0, np.array([1]))[0])
+        both = len(set(a.tolist()) & set(b.tolist()))
+        expected = both > 0 and 100 * both >= 80 * (len(a) + len(b) - both)
+        assert jaccard_join.similar(a, b) == expected
+        assert possible or not expected
+        linked += expected
+        ruled_out += not possible
+    assert linked > 20 and ruled_out > 20
+
+
+def test_links_that_the_first_forest_misses(spark, monkeypatch):
+    """With sketches that rule nothing out, first edges mostly fail and the last look has to decide."""
+    import numpy as np
+
+    monkeypatch.setattr(jaccard_join, "near", lambda n, sketch: lambda i, others: np.ones(len(others), bool))
+    rng = random.Random(6)
+    passage = ["p%d" % i for i in range(40)]
+    rows = [(i, " ".join(passage + mutated(rng, ["q%d" % (i % 5 * 50 + k) for k in range(30)], 2))) for i in range(60)]
+    check(spark, rows)
+    monkeypatch.setattr(blocks, "BLOCK", 9)
+    check(spark, rows)
 
 
-def test_sets_in_one_segment_stay_in_long_lists(spark, monkeypatch):
+def test_sets_in_one_segment_stay_in_long_lists(spark):
     """Sets of 8 and 10 shingles, all in one segment of band 0, meet on the keys of its empty segments only."""
     import numpy as np
 
-    monkeypatch.setattr(jaccard_join, "LONG", 3)
     rng, rows = random.Random(4), []
     for i in range(40):
         w = ["s%d" % rng.randrange(10**6) for _ in range(4)]

@@ -94,6 +94,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
+#: Multipliers of a shingle's words.
+_PLACES = mix(np.arange(1, 17, dtype=np.uint64) * ODD) | np.uint64(1)
+
+
+def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the ``width`` words from each word on, as far as there are so many."""
+    n = max(0, len(h) - width + 1)
+    s = h[:n] * _PLACES[0]
+    for k in range(1, width):
+        s += h[k : n + k] * _PLACES[k]
+    return mix(s)
+
+
 def pack_entries(part: np.ndarray, key: np.ndarray, note: np.ndarray) -> pa.RecordBatch:
     """One row a part: its keys' low 48 bits and notes of 40 bits, packed (the part holds the top bits)."""
     order = np.argsort(part, kind="stable")

@@ -5,16 +5,19 @@ the same m segments by ranges of the hash. If two sets differ in at most H eleme
 segments are given allocations that sum to more than H, some segment with allocation 1 is equal in
 both, or one with allocation 2 differs by one element at most. So a segment of allocation 1 is indexed
 by its content, and one of allocation 2 also by its content less each element (one-deletion
-neighbourhood). Allocation follows cost: 2 in the bands of small sets, where one-deletion lists are
-short and plain segments would be nearly empty; 1 in the others, where they would cost a key for each
-element. Empty segments get 0, unless the rest does not suffice. Segments whose lists turn out long
-and unlinked get 0 as well; a pair is lost by that only if both sets run short of allocations, and all
-such pairs of a long list are checked directly.
+neighbourhood).
+
+Allocation follows cost twice. Bands of small sets take 2, where one-deletion lists are short and plain
+segments would be nearly empty, the others 1, where 2 would cost a key for each element without being
+more selective. Then every set withdraws from its longest lists, as many as its allocations exceed what
+it needs. All sets withdraw in one order of the lists (length, then name), so what two sets withdraw of
+the lists that they share is the longer of two prefixes, and neither prefix is all of them: a list
+remains that both are on.
 
 Equal sets are one class from the start (class id: 64-bit hash of the set). Components need not all
-links: lists are first linked star-wise to a pivot, and only members of different components are
-compared further, so groups of near copies cost their size, not its square. Every link that counts is
-verified on the words themselves.
+links: see :mod:`valuemesh.llm.blocks`. The sketch of a set holds, for each of some ranges of a hash,
+whether it has an odd number of elements there; two sets differ in at least as many elements as their
+sketches do in bits. A link is decided on the whole sets of 64-bit hashes.
 
 Nulls, texts without words: empty set, linked with nothing, n_shingles 0, component the row's own id.
 Repeated rows with one id share a component. An empty table gives no rows. Other columns are ignored.
@@ -22,15 +25,15 @@ Repeated rows with one id share a component. An empty table gives no rows. Other
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from valuemesh.llm.batches import LOWER, ODD, PACKED, distinct_lists, each_part, mix, pack_entries, part_of, range_hashes, repeated, text_chunks, words
-from valuemesh.llm.linking import link, verified
+from valuemesh.llm.batches import LOWER, ODD, PACKED, distinct_lists, each_part, mix, pack_entries, part_of, range_hashes, repeated, shingle_hashes, text_chunks, words
+from valuemesh.llm.blocks import link
 from valuemesh.llm.store import Scratch, bit_filter, prefiltered
 
 WIDTH = 5
@@ -39,9 +42,10 @@ PER_CENT = 80
 #: Sizes 4 to 8 are band 0, to 16 band 1, and so on; up to DELETE_BAND segments get allocation 2.
 FIRST, DELETE_BAND = 8, 3
 FLUSH = 1 << 19
-#: A list with more different components than this is long.
-LONG = 40
 OWN, DELETED = 1, 2
+#: A sketch has the power of two from 2 bits an element on, MOST_BITS at most: longer sets are screened
+#: less sharply, and decided all the same.
+LEAST_BITS, MOST_BITS = 64, 1 << 16
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,30 +54,21 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     start, end, doc = words(data, offsets)
     h = range_hashes(data, start, end)
     count = np.bincount(doc, minlength=n)
-    if len(h) >= WIDTH:
-        s = h[: len(h) - WIDTH + 1] * ODD
-        for k in range(1, WIDTH):
-            s = mix(s) + h[k : len(h) - WIDTH + 1 + k]
-        s = mix(s)
-        whole = doc[: len(doc) - WIDTH + 1] == doc[WIDTH - 1 :]
-        s, d = s[whole], doc[: len(doc) - WIDTH + 1][whole]
-    else:
-        s, d = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    s = shingle_hashes(h, WIDTH)
     first = np.concatenate([[0], np.cumsum(count)])
+    for i in np.flatnonzero(count >= WIDTH):
+        s[first[i] : first[i + 1] - WIDTH + 1].sort()
+    d = doc[: len(s)]
+    new = d == doc[len(doc) - len(s) :] if len(s) else np.zeros(0, bool)
+    new[1:] &= (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+    s, d = s[new], d[new]
     few = np.flatnonzero((count > 0) & (count < WIDTH))
     if len(few):
-        more = []
-        for i in few:
-            x = np.uint64(count[i])
-            for w in h[first[i] : first[i] + count[i]]:
-                x = mix(np.array([x], np.uint64) + w)[0]
-            more.append(x)
-        s, d = np.concatenate([s, np.array(more, np.uint64)]), np.concatenate([d, few])
-    order = np.lexsort((s, d))
-    s, d = s[order], d[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
-    return s[new], d[new]
+        whole = np.array([mix(np.array([h[first[i] : first[i + 1]]]) + np.arange(count[i], dtype=np.uint64) * ODD).sum() for i in few], np.uint64)
+        s, d = np.concatenate([s, mix(whole + count[few].astype(np.uint64))]), np.concatenate([d, few])
+        order = np.argsort(d, kind="stable")
+        s, d = s[order], d[order]
+    return s, d
 
 
 def classes(s: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,62 +99,69 @@ def needed(size: np.ndarray, k: np.ndarray) -> np.ndarray:
     return (size + partner) // 9
 
 
-def keys(s: np.ndarray, d: np.ndarray, size: np.ndarray, k: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text number, flag) of the texts taken, each cut as in band k[text]; and allocations per text."""
-    n = len(size)
-    cap = np.zeros(n, np.int64)
-    in_it = take[d]
-    s, d = s[in_it], d[in_it]
-    if not len(s):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), cap
-    m = segments(k)
-    seg = ((s >> np.uint64(32)) * m[d].astype(np.uint64)) >> np.uint64(32)
-    new = np.ones(len(s), bool)
-    new[1:] = (seg[1:] != seg[:-1]) | (d[1:] != d[:-1])
-    at = np.flatnonzero(new)
-    which = np.cumsum(new) - 1
-    value = mix(s + ODD)
-    total = np.add.reduceat(value, at)
-    length = np.diff(np.append(at, len(s)))
-    place = mix((k[d] + 1).astype(np.uint64) * ODD + seg)
-    doc = d[at]
-    deep = k[doc] <= DELETE_BAND
-    cap += np.bincount(doc, weights=np.where(deep & (length > 1), 2, 1), minlength=n).astype(np.int64)
-    short = take & (cap <= needed(size, k))  # too many empty segments: these index the empty ones too
-    out = [(mix(total + place[at]), doc, np.zeros(len(doc), np.uint8))]
-    less = deep[which] & ((length[which] > 1) | short[d])
-    out.append((mix(total[which] - value + place)[less], d[less], np.full(int(less.sum()), DELETED, np.uint8)))
-    for i in np.flatnonzero(short):
-        empty = np.setdiff1d(np.arange(m[i], dtype=np.uint64), seg[d == i])
-        if len(empty):
-            out.append((mix(mix(np.full(len(empty), k[i] + 1, np.uint64) * ODD + empty)), np.full(len(empty), i), np.zeros(len(empty), np.uint8)))
-    cap[short] = 0  # complete with all their lists only: they stay in the long ones
-    return *(np.concatenate(x) for x in zip(*out)), cap
-
-
-def both_bands(s: np.ndarray, d: np.ndarray, size: np.ndarray):
-    """keys() for the sets' own band and, for those with partners there, the next lower one."""
+class _Cut:
+    """The sets of the texts taken, each cut as in band k[text], and their allocations ``cap``."""
+
+    def __init__(self, s: np.ndarray, d: np.ndarray, size: np.ndarray, k: np.ndarray, take: np.ndarray):
+        n, in_it = len(size), take[d]
+        self.s, self.d, self.k, self.m = s[in_it], d[in_it], k, segments(k)
+        self.seg = ((self.s >> np.uint64(32)) * self.m[self.d].astype(np.uint64)) >> np.uint64(32)
+        new = np.ones(len(self.s), bool)
+        new[1:] = (self.seg[1:] != self.seg[:-1]) | (self.d[1:] != self.d[:-1])
+        self.at = np.flatnonzero(new)
+        self.which = np.cumsum(new) - 1
+        self.length = np.diff(np.append(self.at, len(self.s)))
+        self.doc = self.d[self.at]
+        self.deep = k[self.doc] <= DELETE_BAND
+        self.cap = np.bincount(self.doc, weights=np.where(self.deep & (self.length > 1), 2, 1), minlength=n).astype(np.int64)
+        #: Too many empty segments: these index the empty ones too, and withdraw from none.
+        self.short = take & (self.cap <= needed(size, k))
+
+    def spare(self, size: np.ndarray) -> np.ndarray:
+        """From how many lists a set can withdraw and still meet all its partners."""
+        weight = np.where(self.k <= DELETE_BAND, 2, 1)
+        return np.where(self.short, 0, np.maximum(self.cap - needed(size, self.k) - 1, 0) // weight)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, text number, flag)."""
+        if not len(self.s):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        value = mix(self.s + ODD)
+        total = np.add.reduceat(value, self.at)
+        place = mix((self.k[self.d] + 1).astype(np.uint64) * ODD + self.seg)
+        out = [(mix(total + place[self.at]), self.doc, np.zeros(len(self.doc), np.uint8))]
+        less = self.deep[self.which] & ((self.length[self.which] > 1) | self.short[self.d])
+        out.append((mix(total[self.which] - value + place)[less], self.d[less], np.full(int(less.sum()), DELETED, np.uint8)))
+        for i in np.flatnonzero(self.short):
+            empty = np.setdiff1d(np.arange(self.m[i], dtype=np.uint64), self.seg[self.d == i])
+            if len(empty):
+                out.append((mix(mix(np.full(len(empty), self.k[i] + 1, np.uint64) * ODD + empty)), np.full(len(empty), i), np.zeros(len(empty), np.uint8)))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def both_bands(s: np.ndarray, d: np.ndarray, size: np.ndarray) -> tuple[_Cut, _Cut]:
+    """The cuts for the sets' own band and, for those with partners there, the next lower one."""
     own = band(size)
     lower = np.maximum(own - 1, 0)
     low = (own > 0) & (size * 4 <= (FIRST << lower) * 5)
-    return keys(s, d, size, own, size >= 4), keys(s, d, size, lower, low & (size >= 4))
+    return _Cut(s, d, size, own, size >= 4), _Cut(s, d, size, lower, low & (size >= 4))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, cls, n, cap_own, cap_low) of every row."""
+    """(doc_id, cls, n, spare_own, spare_low) of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches):
             s, d = shingles(LOWER[data], offsets)
             cls, size = classes(s, d, len(offsets) - 1)
-            (*_, cap_own), (*_, cap_low) = both_bands(s, d, size)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(cls.view(np.int64)), pa.array(size, pa.int64()), pa.array(cap_own, pa.int64()), pa.array(cap_low, pa.int64())], ["doc_id", "cls", "n", "cap_own", "cap_low"])
+            own, low = both_bands(s, d, size)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(cls.view(np.int64)), *(pa.array(x, pa.int64()) for x in (size, own.spare(size), low.spare(size)))], ["doc_id", "cls", "n", "spare_own", "spare_low"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, cls bigint, n bigint, cap_own bigint, cap_low bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, cls bigint, n bigint, spare_own bigint, spare_low bigint")
 
 
 def _lists(docs: DataFrame, parts: int) -> DataFrame:
-    """Inverted lists with two or more classes: (sig, short, flag, lists), one sig per distinct list.
+    """Inverted lists with two or more classes: (sig, short, flag, size, lists), one sig per distinct list.
 
     Keys travel packed, a row for each task's flush and part, with 38 bits of the class; a part is
     sorted in one task, which holds one part at a time. Classes that agree in these bits only make
@@ -173,8 +175,8 @@ def _lists(docs: DataFrame, parts: int) -> DataFrame:
             cls, size = classes(s, d, len(offsets) - 1)
             first = np.zeros(len(cls), bool)
             first[np.unique(cls, return_index=True)[1]] = True  # equal sets of a chunk once
-            own, low = both_bands(s, d, size)
-            for (key, doc, flag, _), extra in ((own, OWN), (low, 0)):
+            for cut, extra in zip(both_bands(s, d, size), (OWN, 0)):
+                key, doc, flag = cut.keys()
                 ok = first[doc]
                 held.append((key[ok], ((cls[doc[ok]] >> np.uint64(26)) << np.uint64(2)) | flag[ok] | np.uint64(extra)))
                 total += int(ok.sum())
@@ -194,101 +196,80 @@ def _lists(docs: DataFrame, parts: int) -> DataFrame:
             own = np.bitwise_or.reduceat(note & np.uint64(OWN), at) > 0
             plain = np.bitwise_or.reduceat(~note & np.uint64(DELETED), at) > 0
             low, high = np.minimum.reduceat(note, at) >> np.uint64(2), np.maximum.reduceat(note, at) >> np.uint64(2)
-            keep = np.flatnonzero(own & plain & (low != high))
-            if len(keep):
-                sig, rows, times = distinct_lists(note, at, length, keep)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig.view(np.int64)), pa.array((note[rows] >> np.uint64(2)).astype(np.int64)), pa.array((note[rows] & np.uint64(3)).astype(np.int32)), pa.array(times, pa.int64())],
-                    ["sig", "short", "flag", "lists"],
-                )
+            keep = np.repeat(own & plain & (low != high), length)
+            key, note, at, length = repeated(key[keep], note[keep] & ~np.uint64(DELETED))
+            if len(at):
+                sig, rows, times = distinct_lists(note, at, length, np.arange(len(at)))
+                size = np.repeat(length, length)[rows]
+                columns = (sig.view(np.int64), (note[rows] >> np.uint64(2)).astype(np.int64), (note[rows] & np.uint64(OWN)).astype(np.int32), size, times)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["sig", "short", "flag", "size", "lists"])
 
     sent = docs.select("doc_id", "text").mapInArrow(emit, PACKED)
     dealt = sent.repartition(F.col("part")).sortWithinPartitions("part")
-    return dealt.mapInArrow(gather, "sig bigint, short bigint, flag int, lists bigint")
+    return dealt.mapInArrow(gather, "sig bigint, short bigint, flag int, size bigint, lists bigint")
 
 
-def sketches(s: np.ndarray, d: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """Per text the number of its shingles in each of 2**k hash ranges, about four to a range.
+def _withdrawn(lists: DataFrame, heads: DataFrame) -> DataFrame:
+    """(sig, cls, n, size): the lists without the memberships that their classes can spare, longest first."""
+    short = heads.select("cls", "n", "spare_own", "spare_low", F.shiftrightunsigned("cls", 26).alias("short"))
+    every = lists.groupBy("sig", "short", "flag").agg(F.max("size").alias("size"), F.sum("lists").alias("lists")).join(short, "short")
+    spent = F.sum("lists").over(Window.partitionBy("cls", "flag").orderBy(F.col("size").desc(), "sig"))
+    spare = F.when(F.col("flag") == OWN, F.col("spare_own")).otherwise(F.col("spare_low"))
+    return every.withColumn("spent", spent).where(F.col("spent") > spare).select("sig", "cls", "n", "size").distinct()
 
-    Two sets cannot share more than the sum of the lesser counts: an exact bound on the intersection.
-    A count above 254 gives an empty sketch, which bounds nothing.
-    """
+
+def sketches(s: np.ndarray, d: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Per text, a bit for each value of a hash: whether an odd number of its shingles have that value."""
     h, out = mix(s ^ np.uint64(0x5851F42D4C957F2D)), []
     first = np.concatenate([[0], np.cumsum(size)])
     for i, n in enumerate(size):
-        bits = max(0, int(n // 4).bit_length())
-        own = h[first[i] : first[i + 1]]
-        count = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(n, np.int64), minlength=1 << bits)
-        out.append(count.astype(np.uint8).tobytes() if count.max(initial=0) < 255 else b"")
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * n - 1).bit_length()))
+        odd = np.bincount((h[first[i] : first[i + 1]] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
     return out
 
 
-def may_link(a: bytes, b: bytes, n: int, m: int) -> bool:
-    """Whether the sketches of sets of n and m shingles leave the similarity possible."""
-    if not a or not b:
-        return True
-    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
-    while len(x) > len(y):
-        x = x[0::2] + x[1::2]
-    while len(y) > len(x):
-        y = y[0::2] + y[1::2]
-    most = int(np.minimum(x, y).sum())
-    return 100 * most >= PER_CENT * (n + m - most)
-
-
-def _screened(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, open): whether a pair's sketches leave it possible."""
-    one = texts.select(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("asketch"))
-    two = texts.select(F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bsketch"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            rows = zip(x.column(2), x.column(4), x.column(3).to_pylist(), x.column(5).to_pylist())
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array([may_link(a.as_py(), b.as_py(), n, m) for a, b, n, m in rows], pa.bool_())], ["a", "b", "open"])
-
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "asketch", "an", "bsketch", "bn").mapInArrow(run, "a bigint, b bigint, open boolean")
-
+def _folded(table: np.ndarray, width: int) -> np.ndarray:
+    while table.shape[1] > width:
+        half = table.shape[1] // 2
+        table = table[:, :half] ^ table[:, half:]
+    return table
 
-def _shingle_set(text: str | None) -> set:
-    w = (text or "").encode().translate(LOWER.tobytes()).split()
-    return set(zip(*(w[i:] for i in range(WIDTH)))) if len(w) >= WIDTH else ({tuple(w)} if w else set())
 
+def near(n: np.ndarray, sketch: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """test(i, others): which of the others may be linked with i by their sizes and sketches."""
+    length = np.array([len(x) // 8 for x in sketch])
+    tables, place = {}, np.zeros(len(sketch), np.int64)
+    for width in np.unique(length):
+        at = np.flatnonzero(length == width)
+        place[at] = np.arange(len(at))
+        own = np.frombuffer(b"".join(sketch[j] for j in at), np.uint64).reshape(-1, width)
+        for less in np.unique(length[length <= width]):
+            tables[width, less] = _folded(own, less)
 
-def similar(a: set, b: set) -> bool:
-    both = len(a & b)
-    return 100 * both >= PER_CENT * (len(a) + len(b) - both) and both > 0
+    def test(i: int, others: np.ndarray) -> np.ndarray:
+        out = (n[others] * 100 >= n[i] * PER_CENT) & (n[i] * 100 >= n[others] * PER_CENT)
+        for width in np.unique(length[others[out]]):
+            at = np.flatnonzero(out & (length[others] == width))
+            less = min(width, length[i])
+            differ = np.bitwise_count(tables[width, less][place[others[at]]] ^ tables[length[i], less][place[i]]).sum(axis=1, dtype=np.int64)
+            out[at] = differ * (100 + PER_CENT) <= (n[i] + n[others[at]]) * (100 - PER_CENT)
+        return out
 
+    return test
 
-def _verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, linked): by sketch where that rules a pair out, else on the words."""
-    screened = scratch.write(_screened(pairs, texts))
-    exact = verified(screened.where("open").select("a", "b"), texts.select("cls", "text"), _shingle_set, similar)
-    return exact.union(screened.where("not open").select("a", "b", F.lit(False)))
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """The rule, on two sets of shingles in order."""
+    if not len(a) or not len(b):
+        return False
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    both = int((a[at] == b).sum())
+    return 100 * both >= PER_CENT * (len(a) + len(b) - both)
 
-def _possible(n, flag, other_n, other_flag):
-    """Sizes allow the similarity; not both are deletions, nor both from the upper band. Columns or arrays."""
-    sizes = (n * 100 >= other_n * PER_CENT) & (other_n * 100 >= n * PER_CENT)
-    if isinstance(flag, Column):
-        return sizes & (flag.bitwiseAND(other_flag).bitwiseAND(DELETED) == 0) & (flag.bitwiseOR(other_flag).bitwiseAND(OWN) > 0)
-    return sizes & ((flag & other_flag & DELETED) == 0) & (((flag | other_flag) & OWN) > 0)
 
-
-def _near(sketch: list[bytes], n: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
-    """:func:`may_link` of i with each of the others, those of one sketch length at a time."""
-    out = np.ones(len(others), bool)
-    length = np.array([len(sketch[j]) for j in others])
-    for size in np.unique(length[length > 0]) if sketch[i] else ():
-        at = np.flatnonzero(length == size)
-        table = np.frombuffer(b"".join(sketch[j] for j in others[at]), np.uint8).reshape(-1, size).astype(np.int16)
-        mine = np.frombuffer(sketch[i], np.uint8).astype(np.int16)
-        while table.shape[1] > len(mine):
-            table = table[:, 0::2] + table[:, 1::2]
-        while len(mine) > table.shape[1]:
-            mine = mine[0::2] + mine[1::2]
-        most = np.minimum(table, mine).sum(axis=1, dtype=np.int64)
-        out[at] = 100 * most >= PER_CENT * (n[i] + n[others[at]] - most)
-    return out
+def _set(data: pa.Scalar | bytes) -> np.ndarray:
+    return np.frombuffer(data if isinstance(data, bytes) else data.as_buffer(), np.uint64)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -298,52 +279,34 @@ def near_copies(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = scratch.write(_rows(docs))
-    heads = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("cap_own").alias("cap_own"), F.first("cap_low").alias("cap_low"))
-    short = heads.select("cls", "n", F.shiftrightunsigned("cls", 26).alias("short"))
-    lists = scratch.write(_lists(docs, parts).groupBy("sig", "short", "flag").agg(F.sum("lists").alias("lists")).join(short, "short").drop("short"))
-    member = lists.select("cls").distinct().join(heads, "cls")
-    texts = scratch.write(_texts(docs, member))
-
-    roots = link(scratch, lists, lambda pairs: _verified(scratch, pairs, texts), _possible, texts.select("cls", "sketch"), _near, lambda sized: _kept_of_long(sized, member))
+    heads = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("head"), *(F.first(c).alias(c) for c in ("n", "spare_own", "spare_low")))
+    lists = scratch.write(_withdrawn(_lists(docs, parts), heads))
+    sets = scratch.write(_sets(docs, lists.select("cls").distinct().join(heads.select("cls", "head"), "cls")))
+    roots = link(scratch, lists, sets, near, _set, similar)
+    scratch.drop(lists, sets)
     head = heads.select("cls", "head").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = head.groupBy("root").agg(F.min("head").alias("component_id"))
     by_class = scratch.write(head.join(least, "root").select("cls", "component_id"))
-    scratch.drop(lists, texts)
+    scratch.drop(roots)
     return rows.join(by_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _texts(docs: DataFrame, member: DataFrame) -> DataFrame:
-    """(cls, text, n, sketch): one text for each class that is in a list."""
+def _sets(docs: DataFrame, member: DataFrame) -> DataFrame:
+    """(cls, sketch, data) of each class that is on a list, from its least id's text; texts stay where
+    they are."""
     some = prefiltered(docs.select("doc_id", "text"), "doc_id", bit_filter(member, "head"))
-    found = some.join(member.select(F.col("cls").alias("want"), "head"), F.col("doc_id").eqNullSafe(F.col("head"))).select("want", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches):
             s, d = shingles(LOWER[data], offsets)
             cls, size = classes(s, d, len(offsets) - 1)
-            got = pa.RecordBatch.from_arrays([*rows.columns, pa.array(size, pa.int64()), pa.array(sketches(s, d, size), pa.binary())], ["cls", "text", "n", "sketch"])
-            yield got.filter(pa.array(cls.view(np.int64) == rows.column(0).to_numpy()))  # rows may share an id
-
-    return found.mapInArrow(run, "cls bigint, text string, n bigint, sketch binary").dropDuplicates(["cls"])
-
+            first = np.concatenate([[0], np.cumsum(size)])
+            sets = [s[first[i] : first[i + 1]].tobytes() for i in range(len(size))]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(cls.view(np.int64)), pa.array(sketches(s, d, size), pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "cls", "sketch", "data"])
 
-def _kept_of_long(sized: DataFrame, member: DataFrame) -> DataFrame:
-    """Of the lists with their number of components, the memberships that still have to be compared.
-
-    A long list gets allocation 0: only those of its members stay that then run short of allocations.
-    """
-    long = sized.where(F.col("roots") > LONG)
-    own = F.col("flag").bitwiseAND(OWN) > 0
-    lost = long.groupBy("cls").agg(F.sum(F.when(own, F.col("lists")).otherwise(0)).alias("lost_own"), F.sum(F.when(own, 0).otherwise(F.col("lists"))).alias("lost_low"))
-    share = member.join(lost, "cls")
-    k = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / FIRST)))
-    low_top = F.lit(FIRST) * F.pow(F.lit(2), F.greatest(k - 1, F.lit(0))).cast("long")
-    weight = lambda band: F.when(band <= DELETE_BAND, 2).otherwise(1)
-    poor_own = F.col("cap_own") - weight(k) * F.col("lost_own") <= F.floor((F.col("n") + F.floor(F.col("n") * 5 / 4)) / 9)
-    poor_low = F.col("cap_low") - weight(k - 1) * F.col("lost_low") <= F.floor((F.col("n") + low_top) / 9)
-    short = share.select("cls", poor_own.alias("poor_own"), poor_low.alias("poor_low"))
-    rest = long.join(short, "cls").where(F.when(own, F.col("poor_own")).otherwise(F.col("poor_low")))
-    return sized.where(F.col("roots") <= LONG).select("sig", "cls", "n", "flag", "root").union(rest.select("sig", "cls", "n", "flag", "root"))
+    every = some.mapInArrow(run, "doc_id bigint, cls bigint, sketch binary, data binary")
+    want = member.select(F.col("cls").alias("want"), "head")
+    return every.join(want, (F.col("cls") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("head")), "left_semi").dropDuplicates(["cls", "doc_id"]).select("cls", "sketch", "data")
 
 
 def op9_ngram_jaccard(docs: DataFrame) -> DataFrame:

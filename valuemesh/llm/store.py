@@ -45,23 +45,26 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-#: Bits of a filter: 4 MB, whatever the number of keys.
-FILTER_BITS = 1 << 25
+#: A filter has BITS_A_KEY bits a key, rounded up to a power of two, and MOST_BITS (32 MB) at most. Beyond
+#: some 30 million keys it lets more and more through: then more is shuffled, and the result is the same.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 8, 1 << 15, 1 << 28
 
 
 def bit_filter(keys: DataFrame, key: str) -> np.ndarray:
-    """A filter of fixed size over long keys, by their low bits; see :func:`passes`. With very many keys it
-    lets more through; it never holds a key back."""
-    low = F.col(key).bitwiseAND(FILTER_BITS - 1)
-    rows = keys.where(F.col(key).isNotNull()).select(F.shiftright(low, 15).alias("bucket"), low.bitwiseAND(32767).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:  # FILTER_BITS / 32768 rows at most
+    """A filter over long keys, by their low bits, sized by their number; see :func:`passes`. It never holds
+    a key back."""
+    known = keys.where(F.col(key).isNotNull())
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * known.count() - 1).bit_length()))
+    low = F.col(key).bitwiseAND(bits - 1)
+    rows = known.select(F.shiftright(low, 15).alias("bucket"), low.bitwiseAND(32767).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:  # MOST_BITS / 32768 rows at most
         out[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    low = keys.astype(np.int64) & (FILTER_BITS - 1)
+    low = keys.astype(np.int64) & (8 * len(bits) - 1)
     return (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0
 
 
