@@ -30,6 +30,12 @@ BLOCK = 2048
 STAR = 256
 
 
+def tasks(df: DataFrame) -> int:
+    """Tasks of an exchange before comparisons: they are dear for their bytes, so partitions are not to be
+    coalesced by size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 class Forest:
     """Components of a block's members, merged edge by edge."""
 
@@ -78,8 +84,8 @@ def _first_look(lists: DataFrame, sketches: DataFrame, near: Callable) -> DataFr
         at, to = possible_forest(n, sketch, near, Forest(np.arange(len(cls))))
         return _edges(sig, cls, at, to) if len(at) else None
 
-    dealt = every.select("sig", "x", "cls", "n", "sketch").repartition(F.col("sig"), F.col("x")).sortWithinPartitions("sig", "x")
-    return dealt.mapInArrow(_by_block(found, 2), "sig bigint, a bigint, b bigint")
+    dealt = every.select("sig", "x", "cls", "n", "sketch").repartition(tasks(lists), "sig", "x").sortWithinPartitions("sig", "x")
+    return dealt.mapInArrow(by_block(found, 2), "sig bigint, a bigint, b bigint")
 
 
 def possible_forest(n: np.ndarray, sketch: list[bytes], near: Callable, forest: Forest) -> tuple[list[int], list[int]]:
@@ -102,7 +108,7 @@ def _edges(sig: int, cls: np.ndarray, at: list[int], to: list[int]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(one), sig)), pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["sig", "a", "b"])
 
 
-def _by_block(found: Callable, keys: int) -> Callable:
+def by_block(found: Callable, keys: int) -> Callable:
     """Runs ``found(first key, rows)`` for every block of two rows or more; rows are sorted by the keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +150,7 @@ def decided(pairs: DataFrame, sets: DataFrame, prepare: Callable, related: Calla
                 linked.append(related(have, prepare(data)))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    dealt = pivots.union(members).repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    dealt = pivots.union(members).repartition(tasks(pairs), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return dealt.mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
@@ -171,8 +177,8 @@ def _still_open(lists: DataFrame, sketches: DataFrame, roots: DataFrame, near: C
         sig = np.full(len(cls), mix(mix(cls.view(np.uint64)).sum(keepdims=True)).view(np.int64)[0])
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, cls, n, root)], ["sig", "cls", "n", "root"])
 
-    dealt = every.select("sig", "x", "y", "cls", "n", "root", "sketch").repartition(F.col("sig"), F.col("x"), F.col("y")).sortWithinPartitions("sig", "x", "y")
-    return dealt.mapInArrow(_by_block(found, 3), "sig bigint, cls bigint, n bigint, root bigint").distinct()
+    dealt = every.select("sig", "x", "y", "cls", "n", "root", "sketch").repartition(tasks(lists), "sig", "x", "y").sortWithinPartitions("sig", "x", "y")
+    return dealt.mapInArrow(by_block(found, 3), "sig bigint, cls bigint, n bigint, root bigint").distinct()
 
 
 def _last_look(still: DataFrame, sketches: DataFrame, sets: DataFrame, near: Callable, prepare: Callable, related: Callable) -> DataFrame:
@@ -192,7 +198,7 @@ def _last_look(still: DataFrame, sketches: DataFrame, sets: DataFrame, near: Cal
         return _edges(sig, cls, at, to) if at else None
 
     every = still.join(sketches, "cls").join(sets, "cls").select("sig", "cls", "n", "root", "sketch", "data")
-    return every.repartition(F.col("sig")).sortWithinPartitions("sig").mapInArrow(_by_block(found, 1), "sig bigint, a bigint, b bigint")
+    return every.repartition(tasks(every), "sig").sortWithinPartitions("sig").mapInArrow(by_block(found, 1), "sig bigint, a bigint, b bigint")
 
 
 def link(scratch: Scratch, lists: DataFrame, sets: DataFrame, near: Callable, prepare: Callable, related: Callable) -> DataFrame:
