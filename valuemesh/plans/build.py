@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from valuemesh.lineage import cut
 from valuemesh.operators.composition import composition
 from valuemesh.operators.merge import merge_fragments
 from valuemesh.operators.similar import similar_to
@@ -24,7 +25,7 @@ class Graph:
 def link(nodes: DataFrame, edges: DataFrame, color_epsilon: float | None = None) -> tuple[DataFrame, DataFrame]:
     """A merged graph with composition and similarity edges."""
     nodes, edges = merge_fragments([(nodes, edges), composition(nodes)])
-    nodes = nodes.persist()  # every value type's join reads them
+    nodes = cut(nodes)  # every value type's join reads them
     near = similar_to(nodes.where("type = 'RawValue'"), None if color_epsilon is None else {"color": color_epsilon})
     return nodes, edges.unionByName(conform(near, EDGES))
 
@@ -34,8 +35,8 @@ def build(spark: SparkSession, root: str, adapters: list[Adapter] | None = None,
     found = run_adapters(spark, root, adapters)
     empty = (spark.createDataFrame([], ddl(NODES)), spark.createDataFrame([], ddl(EDGES)))
     nodes, edges = merge_fragments([f for _, f in found] or [empty])
-    nodes, edges = link(nodes.persist(), edges.persist(), color_epsilon)
-    edges = edges.persist()
+    nodes, edges = link(cut(nodes), cut(edges), color_epsilon)
+    edges = cut(edges)
     if out:
         write_graph(nodes, edges, out)
     return Graph(nodes, edges, [n for n, _ in found])

@@ -20,6 +20,7 @@ from valuemesh.functions.composites import resolve_udf
 from valuemesh.functions.numbers import picked
 from valuemesh.functions.registry import canonicalize
 from valuemesh.functions.text import category_to_value_type
+from valuemesh.lineage import cut
 from valuemesh.schema import EDGES, NODES, conform
 
 NAME = "tailwind-v4"
@@ -44,14 +45,15 @@ NAMESPACES = [
     ("ease", "easing"),
     ("z-index", "z"),
 ]
-SKIPPED = {"node_modules", ".next", ".git", "dist", "dsgraph-out", ".turbo"}
+SKIPPED = frozenset({"node_modules", ".next", ".git", "dist", ".turbo", "valuemesh-out"})
 THEME_SIGNAL, ROOT_SIGNAL = re.compile(r"@theme\b"), re.compile(r":root[^{]*\{[^}]*--", re.S)
 HINTS = [("radius", "radius"), ("shadow", "shadow"), ("font|family", "fontFamily"), ("text|size|leading", "fontSize")]
 ALIAS = r"^var\(\s*--([\w-]+)\s*\)$"
 
 
-def find_css(root: str) -> list[str]:
-    """The file that components.json names, else every CSS file below with a theme or root variables."""
+def find_css(root: str, skipped: frozenset[str] = SKIPPED) -> list[str]:
+    """The file that components.json names, else every CSS file below with a theme or root variables, but
+    in ``skipped`` folders."""
     try:
         with open(os.path.join(root, "components.json"), encoding="utf-8") as f:
             css = json.load(f)["tailwind"]["css"]
@@ -62,7 +64,7 @@ def find_css(root: str) -> list[str]:
         pass
     found = []
     for at, folders, files in os.walk(root):
-        folders[:] = sorted(d for d in folders if d not in SKIPPED)
+        folders[:] = sorted(d for d in folders if d not in skipped)
         for name in sorted(files):
             path = os.path.join(at, name)
             if name.endswith(".css"):
@@ -215,11 +217,12 @@ def tokens_and_values(decls: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit(False).alias("inferred"),
         F.array(F.struct(F.lit("light").alias("mode"), F.col("light").alias("v")), F.struct(F.lit("dark").alias("mode"), F.col("dark").alias("v"))).alias("given"),
     )
-    tokens = semantic.unionByName(primitive).withColumn("token", F.concat_ws(":", F.lit("token"), "category", "label")).persist()
+    tokens = semantic.unionByName(primitive).withColumn("token", F.concat_ws(":", F.lit("token"), "category", "label"))
+    tokens = cut(tokens)
     each = tokens.select("root", "token", "ord", "category", "names", "texts", F.posexplode("given").alias("pos", "g")).where("g.v is not null")
     each = each.select("root", "token", "ord", "pos", "category", F.col("g.mode").alias("mode"), F.col("g.v").alias("given"), resolve_udf(F.col("g.v"), F.col("names"), F.col("texts")).alias("raw"), category_to_value_type(F.col("category")).alias("value_type"), F.col("category").alias("scope"))
     values = canonicalize(each, keep=["root", "token", "ord", "pos", "mode", "given"])
-    return _fragment(tokens, values.persist())  # parsed once for nodes, edges and failures
+    return _fragment(tokens, cut(values))  # parsed once for nodes, edges and failures
 
 
 def _fragment(tokens: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
