@@ -61,3 +61,12 @@ def test_balance_prefers_the_cheapest_bin():
     for i, _, n, b in got:
         bins.setdefault(b, []).append((i, n))
     assert sorted(sorted(b) for b in bins.values()) == [[(0, 600), (3, 300), (4, 124)], [(1, 500), (2, 400), (4, 124)]]
+
+
+def test_long_white_space():
+    import tokenizers
+
+    own = tokenizers.Tokenizer.from_file(PATH)
+    encode = packing.load_encoder(PATH)
+    for text in (" " * 2_000_000, "a" + "\n" * 1_500_000 + "b", "x " + " \t\n" * 400_000 + "y  z"):
+        assert encode(text).tolist() == own.encode(text, add_special_tokens=False).ids

@@ -14,6 +14,7 @@ empty table gives no rows. Input columns other than the id and the text are not
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ END_ID = 0
 #: Cost of n ids: n + QUADRATIC * n * n.
 QUADRATIC = 1 / 512
 GROUP_IDS = 1 << 20
+LONG_SPACE = 50_000
+_LONG_SPACE = re.compile(r"\s{%d}" % LONG_SPACE)
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
@@ -33,11 +36,13 @@ def load_encoder(path: str):
     """text -> uint32 ids, equal to those of the tokenizer file (byte-level BPE).
 
     The file's ranks run in a faster encoder of the same algorithm; strings of special tokens in a
-    text become their ids, as they do in the tokenizer file's own encoder.
+    text become their ids, as they do in the tokenizer file's own encoder. That one gets the texts with
+    LONG_SPACE white-space characters in a row, for which the faster one's pattern overflows its stack.
     """
     import json
 
     import tiktoken
+    import tokenizers
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
@@ -53,9 +58,13 @@ def load_encoder(path: str):
     ranks = {bytes(spelled[c] for c in piece): i for piece, i in vocab.items() if piece not in added}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     own = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
-    specials = list(added)
+    specials, given = list(added), []
 
     def encode(text: str) -> np.ndarray:
+        if len(text) >= LONG_SPACE and _LONG_SPACE.search(text):
+            if not given:
+                given.append(tokenizers.Tokenizer.from_file(path))
+            return np.asarray(given[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         if any(s in text for s in specials):
             return np.asarray(own.encode(text, allowed_special="all"), dtype=np.uint32)
         return np.asarray(own.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
