@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from valuemesh.llm import decontam, pii, secrets
 
 KINDS5 = ["email", "ip", "card", "phone"]
@@ -154,3 +156,30 @@ def test_decontam_equals_brute_force(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, w in enumerate(want) if not w[4]]
     assert decontam.op7_decontam(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_window_entropy_by_definition(spark):
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(11)
+    alphabet = secrets.ALPHABET
+    texts = ["", "a" * 19, "a" * 20, "ab" * 30] + ["".join(rng.choice(alphabet[: rng.randrange(1, 68)]) for _ in range(rng.randrange(15, 90))) for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secrets.window_entropy(F.col("t")).alias("e")).collect()
+    for r in rows:
+        windows = [Counter(r.t[i : i + 20]) for i in range(len(r.t) - 19)]
+        want = max((-sum(n / 20 * math.log2(n / 20) for n in w.values()) for w in windows), default=0.0)
+        assert abs(r.e - want) < 1e-9
+
+
+def test_long_candidate_is_linear(spark):
+    import random
+    import time
+
+    rng = random.Random(12)
+    text = "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(200_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begin = time.time()
+    assert secrets.op6_secrets(docs).first().spans.endswith("entropy:0:200000")
+    assert time.time() - begin < 60

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from valuemesh.functions.numbers import let
 from valuemesh.llm.spans import apart, find_all, render, tag
 
 #: The first three are the base kinds; entropy spans are added by the method.
@@ -32,35 +33,50 @@ CLASSES = {
 ALLOW = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|dummy|xxxx|0123456789|abcdefgh",
-    r"^/|/[A-Za-z_-]+/",
+    r"^/?(?:[A-Za-z_-]++[0-9]{0,3}/)++[A-Za-z_-]*+[0-9]{0,3}$",
     r"^[A-Za-z0-9]+(?:[_-][A-Za-z]+)+$",
     r"([+/_=-])\1{3}",
 ]
 
 
+#: Characters are counted by their place here (all others as one); a count takes BITS of a long.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
+BITS, IN_ONE = 5, 12
+
+
 def window_entropy(s: Column, window: int = WINDOW) -> Column:
     """Largest Shannon entropy (bits per character) of any window of ``s``, by incremental counts.
 
-    A step adds the entering character and drops the leaving one, and changes the running sum of
-    n*log2(n) by these two characters' counts alone. Strings shorter than the window give 0.
+    The characters become an array once. The counts of the window go along, IN_ONE of them in a long; a step
+    adds the entering character and drops the leaving one, and changes the running sum of n*log2(n) by
+    these two characters' counts alone, so the work is linear in the length. Strings shorter than the
+    window give 0; ``window`` is below 2**BITS.
     """
     table = F.array(*[F.lit(0.0 if n < 2 else n * math.log2(n)) for n in range(window + 2)])
-    weight = lambda n: F.element_at(table, n + 1)
-    count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
-
-    def step(acc: Column, i: Column) -> Column:
-        held = F.when(i > window, s.substr(i - window, F.lit(window))).otherwise(s.substr(F.lit(1), i - 1))
-        leaving = F.when(i > window, s.substr(i - window, F.lit(1)))
-        n_out = count(held, leaving)
-        total = acc["sum"] - F.when(i > window, weight(n_out) - weight(n_out - 1)).otherwise(0.0)
-        entering = s.substr(i, F.lit(1))
-        n_in = count(held, entering) - F.when(leaving == entering, 1).otherwise(0)
-        total = total + weight(n_in + 1) - weight(n_in)
-        bits = F.when(i >= window, F.lit(math.log2(window)) - total / window).otherwise(0.0)
-        return F.struct(total.alias("sum"), F.greatest(acc["best"], bits).alias("best"))
-
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.when(F.length(s) >= window, F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda a: a["best"])).otherwise(0.0)
+    weight = lambda n: F.get(table, n)
+    words = -(-(len(ALPHABET) + 1) // IN_ONE)
+    place = lambda c: F.position(c, F.lit(ALPHABET))
+    chars = F.transform(F.split(s, ""), lambda c: F.struct((place(c) / IN_ONE).cast("int").alias("word"), (place(c) % IN_ONE * BITS).alias("shift")))
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c["shift"])
+    count = lambda held, c: F.call_function("shiftright", F.get(held, c["word"]), c["shift"]).bitwiseAND((1 << BITS) - 1).cast("int")
+
+    def largest(cs: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            enter, leave = F.get(cs, i - 1), F.get(cs, i - 1 - window)
+            full = i > window
+            same = full & (leave == enter)
+            n_out, n_in = count(acc["held"], leave), count(acc["held"], enter)
+            total = acc["sum"] - F.when(full & ~same, weight(n_out) - weight(n_out - 1)).otherwise(0.0)
+            total = total + F.when(same, 0.0).otherwise(weight(n_in + 1) - weight(n_in))
+            moved = F.transform(acc["held"], lambda v, k: v + F.when(enter["word"] == k, one(enter)).otherwise(0) - F.when(full & (leave["word"] == k), one(leave)).otherwise(0))
+            bits = F.when(i >= window, F.lit(math.log2(window)) - total / window).otherwise(0.0)
+            return F.struct(total.alias("sum"), F.greatest(acc["best"], bits).alias("best"), moved.alias("held"))
+
+        held = F.array(*[F.lit(0).cast("long")] * words)
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), held.alias("held"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(cs)), start, step, lambda a: a["best"])
+
+    return F.when(F.length(s) >= window, let(chars, largest)).otherwise(0.0)
 
 
 def _is_secret(hit: Column) -> Column:
