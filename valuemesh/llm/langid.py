@@ -4,8 +4,8 @@ Features are hashed 1- to 3-grams of the lower-cased text in which everything bu
 space; a text's weights are relative frequency times inverse document frequency, counted over all texts
 that are not held out. Training is
 follow-the-regularised-leader with elastic-net penalties on a bounded sample of labelled rows
-(PER_LABEL rows a label and LABELS labels at most; documented parameters), a fifth of which is held
-back to fit the softmax temperature. Prediction covers every whole text: one pass, no shuffle; the
+(PER_LABEL rows a label and SAMPLE_CHARS characters in all; documented parameters: of more labels each
+gets fewer characters, none is left out), a fifth of which is held back to fit the softmax temperature. Prediction covers every whole text: one pass, no shuffle; the
 model (BUCKETS x labels floats, at most 64 MB) goes with the task.
 
 A null text, or one without a letter, is ``und`` with score 0. Repeated rows are answered each on
@@ -19,11 +19,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
-PER_LABEL, LABELS = 400, 200
+PER_LABEL, SAMPLE_CHARS = 400, 64_000_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-6, 1e-6
 #: Feature values sum to about SCALE times the mean inverse document frequency.
@@ -160,14 +160,18 @@ def train(texts: list[str], langs: list[str], seed: int = 7, frequencies: tuple[
 
 
 def sample(docs: DataFrame, usable: Column) -> tuple[list[str], list[str]]:
-    """Labelled texts for training: of each label the rows of least hash, about PER_LABEL of them."""
+    """Labelled texts for training: of each label the PER_LABEL rows of least hash, of a longer text a part
+    of it, such that all labels' parts have SAMPLE_CHARS characters at most."""
     got = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = got.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()
     share = F.xxhash64("doc_id", F.lit("sample")).bitwiseAND(0xFFFFFF) / float(0x1000000)
-    picked = F.lit(False)
-    for r in counts:
-        picked = picked | ((F.col("lang") == r["lang"]) & (share < min(1.0, PER_LABEL / r["count"])))
-    rows = got.where(picked).orderBy(share, "doc_id").limit(PER_LABEL * max(1, len(counts))).select("text", "lang").collect()
+    counts = got.groupBy("lang").agg((2 * PER_LABEL / F.count(F.lit(1))).alias("most"))
+    labels = counts.count()
+    least = got.join(counts, "lang").where(share < F.col("most"))  # some more than are wanted, before rows meet
+    first = Window.partitionBy("lang").orderBy(share, "doc_id")
+    rows = least.withColumn("__no", F.row_number().over(first)).where(F.col("__no") <= PER_LABEL)
+    chars = SAMPLE_CHARS // (PER_LABEL * max(1, labels))
+    begin = (F.xxhash64("doc_id", F.lit("part")).bitwiseAND(0xFFFFFF) / float(0x1000000) * F.greatest(F.lit(0), F.length("text") - chars)).cast("int") + 1
+    rows = rows.select(F.col("text").substr(begin, F.lit(chars)).alias("text"), "lang", share.alias("share"), "doc_id").orderBy("share", "doc_id").select("text", "lang").collect()
     return [r.text for r in rows], [r.lang for r in rows]
 
 
