@@ -1,7 +1,7 @@
 """Benchmark decontamination (native): a hash set of benchmark n-grams over training windows.
 
 Benchmark windows are few, so their 64-bit hashes ship with the plan as a hash set, behind a check of
-their number (SET_LIMIT); beyond it, training windows are joined with them by hash instead. Either
+their number (SET_LIMIT); beyond it, training windows are joined with them by hash instead, with the same result. Either
 way a hit is verified by its words. Training rows never leave their partition but for the rows' own
 counts and their verified hits.
 
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from valuemesh.llm.store import Scratch
+
 N = 13
 SET_LIMIT = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,6 +79,9 @@ def find_contamination(docs: DataFrame, bench: DataFrame, keys: list[str], text:
         found = [_found(at(n), n, hs) for n, hs in sorted(by_len.items())]
         hits = hashed.withColumn("hits", F.concat(*found) if found else none)
     else:  # too many to ship with the plan: join the windows by their hashes
+        # the rows' numbers are used twice, and must be the same both times: written once
+        rows = Scratch(docs.sparkSession).write(rows)
+        hashed = rows.withColumn("wh", F.transform("ws", lambda w: F.xxhash64(w)))
         lens = [r[0] for r in grams.select("len").distinct().collect()]  # N values at most
         each = F.concat(*[_windows(at(n), n) for n in lens])
         windows = hashed.select("__row", F.explode(each).alias("w")).select("__row", "w.*")
