@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from valuemesh.deploy import ship
-from valuemesh.llm import decontam, jaccard_join, langid, line_dedup, metric_join, packing, pii, secrets, substring_dedup, token_counts
+from valuemesh.llm import decontam, jaccard_join, langid, line_dedup, metric_join, oracle, packing, pii, secrets, substring_dedup, token_counts
 
 #: Vocabulary files of the public tokenizers.
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
