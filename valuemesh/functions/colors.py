@@ -1,7 +1,7 @@
-"""Colours: CSS text to sRGB, CIE Lab (D50) and OKLCH, and CIEDE2000 as a column expression.
+"""Colours: CSS text to sRGB, CIE Lab (D50) and OKLCH, and CIEDE2000.
 
-Parsing is Python (an Arrow UDF over distinct texts); hex colours and all arithmetic on Lab are column
-expressions, so that joins by colour distance stay in generated code.
+Parsing is Python (an Arrow UDF over distinct texts); hex colours are column expressions. CIEDE2000 is
+a column expression for one colour against a table, and arithmetic on Arrow batches for many pairs.
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valuemesh.functions.numbers import let, py_round_half_up, round_half_up
@@ -311,3 +312,32 @@ def delta_e(one: Column, two: Column) -> Column:
 
     whole = bind({"l1": at(one, 0), "a1": at(one, 1), "b1": at(one, 2), "l2": at(two, 0), "a2": at(two, 1), "b2": at(two, 2)}, primed)
     return F.when(one.isNotNull() & two.isNotNull(), whole)
+
+
+def delta_e_of_pairs(df: DataFrame, one: str, two: str, out: str) -> DataFrame:
+    """``df`` with CIEDE2000 of two Lab columns, in Arrow batches: over many pairs that is far quicker than
+    :func:`delta_e`, whose bound steps have no generated code. Null where a Lab is null."""
+    parts = [F.get(F.col(c), F.lit(i)) for c in (one, two) for i in range(3)]
+    return df.withColumn(out, F.pandas_udf(_delta_e_batch, "double")(*parts))
+
+
+def _delta_e_batch(l1: pd.Series, a1: pd.Series, b1: pd.Series, l2: pd.Series, a2: pd.Series, b2: pd.Series) -> pd.Series:
+    l1, a1, b1, l2, a2, b2 = (x.to_numpy(np.float64) for x in (l1, a1, b1, l2, a2, b2))
+    seventh = lambda c: np.sqrt(c**7 / (c**7 + 25.0**7))
+    stretch = 1 + 0.5 * (1 - seventh((np.hypot(a1, b1) + np.hypot(a2, b2)) / 2))
+    x1, x2 = a1 * stretch, a2 * stretch
+    c1, c2 = np.hypot(x1, b1), np.hypot(x2, b2)
+    h1, h2 = (np.where((x == 0) & (y == 0), 0.0, np.degrees(np.arctan2(y, x))) for x, y in ((x1, b1), (x2, b2)))
+    h1, h2 = (np.where(h < 0, h + 360, h) for h in (h1, h2))
+    turn, both, grey = h2 - h1, h1 + h2, c1 * c2 == 0
+    near = np.abs(turn) <= 180
+    dh = np.where(grey, 0.0, np.where(near, turn, np.where(turn > 180, turn - 360, turn + 360)))
+    mh = np.where(grey, both, np.where(near, both / 2, np.where(both < 360, both + 360, both - 360) / 2))
+    mc, off = (c1 + c2) / 2, ((l1 + l2) / 2 - 50) ** 2
+    cos = lambda x: np.cos(np.radians(x))
+    t = 1 - 0.17 * cos(mh - 30) + 0.24 * cos(2 * mh) + 0.32 * cos(3 * mh + 6) - 0.20 * cos(4 * mh - 63)
+    p = (l2 - l1) / (1 + 0.015 * off / np.sqrt(20 + off))
+    q = (c2 - c1) / (1 + 0.045 * mc)
+    r = 2 * np.sqrt(c1 * c2) * np.sin(np.radians(dh / 2)) / (1 + 0.015 * mc * t)
+    rt = -2 * seventh(mc) * np.sin(np.radians(60 * np.exp(-(((mh - 275) / 25) ** 2))))
+    return pd.Series(np.sqrt(np.maximum(0.0, p * p + q * q + r * r + rt * q * r)))

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valuemesh.functions.colors import color_udf, delta_e
+from valuemesh.functions.colors import color_udf, delta_e_of_pairs
 from valuemesh.functions.composites import composite_udf
 from valuemesh.functions.numbers import edit_distance, relative_distance, trim_all
 from valuemesh.functions.scalars import font_family, font_weight, parse_dimension, parse_duration, parse_ratio
@@ -52,7 +52,7 @@ METRICS = {
     "color": Metric(
         "lab",
         10.0,
-        _column(delta_e),
+        delta_e_of_pairs,
         lambda v, e: F.floor(F.get(v, F.lit(0)) / (MOST_S_L * e * SLACK)),
         inside=lambda v: F.get(v, F.lit(0)).between(0, 100),
         most_bucket=lambda e: int(100 / (MOST_S_L * e * SLACK)),
