@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from valuemesh.deploy import ship
 from valuemesh.functions import colors, numbers, registry, scalars, text
-from valuemesh.operators import conventions, lookup, merge, similar, traverse
-from valuemesh.schema import EDGES, NODES, conform
+from valuemesh.operators import composition, conventions, lookup, merge, similar, traverse
+from valuemesh.schema import CLASS_PRIORITY, EDGE_CLASS, EDGES, NODES, conform
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -185,10 +185,59 @@ def build_counts(spark, sf_dir):
 
 def composition_parts(spark, sf_dir):
     """A part's size and price as a composite: its sub-values and how many parts hold each."""
-    part = _t(spark, sf_dir, "part").select(F.concat(F.lit("value:typography:"), F.col("p_partkey").cast("string")).alias("source"), F.explode(F.array(F.struct(F.lit("fontSize").alias("scope"), F.col("p_size").cast("double").alias("v")), F.struct(F.lit("lineHeight").alias("scope"), F.col("p_retailprice").alias("v")))).alias("ref"))
-    dim = scalars.parse_dimension(F.concat(numbers.number_text(F.col("ref.v")), F.lit("px")), F.col("ref.scope"))
-    target = text.raw_value_id(F.lit("dimension"), dim["key"])
-    return part.select("source", target.alias("target")).where("target is not null").groupBy("target").agg(F.countDistinct("source").alias("n"))
+    ref = lambda value, scope: F.struct(F.lit("dimension").alias("value_type"), F.concat(numbers.number_text(value), F.lit("px")).alias("raw"), F.lit(scope).alias("scope"))
+    refs = F.array(ref(F.col("p_size").cast("double"), "fontSize"), ref(F.col("p_retailprice"), "lineHeight"))
+    nodes = _t(spark, sf_dir, "part").select(F.concat(F.lit("value:typography:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_partkey").alias("ord"), F.lit("RawValue").alias("type"), refs.alias("refs"))
+    _, edges = composition.composition(conform(nodes, NODES))
+    return edges.groupBy("target").agg(F.countDistinct("source").alias("n"))
+
+
+def merge_modes(spark, sf_dir):
+    """Suppliers' use of return flags, a fragment for each half of the lines, as one edge a triple."""
+    line = _t(spark, sf_dir, "lineitem")
+    edges = line.select(F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("source"), F.lit("uses-token").alias("relation"), F.concat(F.lit("f:"), "l_returnflag").alias("target"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), F.col("l_quantity").cast("double").alias("weight"), F.col("l_linestatus").alias("mode"))
+    got = merge.merge_edges(conform(edges, EDGES))
+    return got.select("source", "target", "ord", "weight", F.array_join("modes", ",").alias("modes"))
+
+
+def explain_part(spark, sf_dir):
+    """The first part's relations, and how many neighbours each has."""
+    got = lookup.explain(*_size_graph(spark, sf_dir), "token:part:1")
+    ids = F.transform("neighbors", lambda n: n["other"])
+    return got.select("relation", F.size("neighbors").cast("bigint").alias("n"), F.array_min(ids).alias("least"), F.array_max(ids).alias("most"))
+
+
+def path_between(spark, sf_dir):
+    """The shortest path from the first supplier to the first customer of its region."""
+    supplier, nation, customer = (_t(spark, sf_dir, t) for t in ("supplier", "nation", "customer"))
+    region = supplier.where("s_suppkey = 1").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("r"))
+    near = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r"))
+    to = near.agg(F.min("c_custkey")).first()[0]
+    path = traverse.shortest_path(_nation_graph(spark, sf_dir)[1], "s:1", f"c:{to}", 4)
+    return spark.createDataFrame(list(enumerate(path or [])), "place bigint, id string")
+
+
+def relevance(spark, sf_dir):
+    """Relevance of the places' edges at one to three hops."""
+    _, edges = _nation_graph(spark, sf_dir)
+    got = edges.select("source", "relation", text.edge_relevance(F.col("relation"), F.lit(0.5), F.length("source") % 3).alias("r"))
+    return got.select("source", "relation", numbers.round_half_up(F.col("r"), 6).alias("relevance"))
+
+
+def category_types(spark, sf_dir):
+    """Value types of categories that parts are dealt to."""
+    names = F.array(*[F.lit(c) for c in (*text.VALUE_TYPE_OF, "breakpoint", "icon")])
+    category = F.get(names, (F.col("p_partkey") % F.size(names)).cast("int"))
+    rows = _t(spark, sf_dir, "part").select(category.alias("category"), text.category_to_value_type(category).alias("value_type"))
+    return rows.groupBy("category", "value_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def color_syntax(spark, sf_dir):
+    """Which texts made from parts spell a colour."""
+    size = F.col("p_size").cast("string")
+    kind, hexed = F.col("p_partkey") % 5, F.lpad(F.lower(F.hex("p_partkey")), 6, "0")
+    raw = F.when(kind == 0, F.concat(F.lit("#"), hexed)).when(kind == 1, hexed).when(kind == 2, F.concat(F.lit("rgb("), size, F.lit(" 2 3)"))).when(kind == 3, F.concat(size, F.lit("px"))).otherwise(F.lit(" Navy "))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.coalesce(colors.is_color_syntax(raw), F.lit(False)).alias("is_color"))
 
 
 def canonical_dimension(spark, sf_dir):
@@ -277,7 +326,7 @@ def cosine_seeds(spark, sf_dir):
 
 QUERIES = [
     similar_dimension, similar_price, similar_ratio_scoped, similar_duration, similar_family_edit, similar_weight, similar_color, nearest_color, color_neighbours,
-    flagship, match_exact, seeds, explain_group, shares_value, merge_dedup, dangling, info_counts, build_counts, composition_parts, canonical_dimension, canonical_ratio,
+    flagship, match_exact, seeds, explain_group, shares_value, merge_dedup, dangling, info_counts, build_counts, composition_parts, merge_modes, explain_part, path_between, relevance, category_types, color_syntax, canonical_dimension, canonical_ratio,
     value_types, bfs_hops, impact, best_first, envelope, cooccurrence, findings, cosine_seeds,
 ]
 
@@ -339,6 +388,10 @@ def _color_pairs_sql() -> str:
     return _delta_e_sql(f"SELECT x.id AS source, y.id AS target, x.scope AS scope, x.l AS l1, x.a AS a1, x.b AS b1, y.l AS l2, y.a AS a2, y.b AS b2 FROM ({v}) x JOIN ({v}) y ON x.scope = y.scope AND x.ord < y.ord")
 
 
+def _priority(relation: str) -> float:
+    return CLASS_PRIORITY[EDGE_CLASS[relation]]
+
+
 def _size_nodes_sql() -> str:
     return "SELECT 'token:part:' || p_partkey AS id, p_name AS label, 'Token' AS type FROM part UNION ALL SELECT DISTINCT 'value:dimension:' || p_size || 'px@size', p_size || 'px@size', 'RawValue' FROM part"
 
@@ -371,6 +424,9 @@ def oracle_sql() -> dict[str, str]:
     norm = "list_sum(list_transform(embedding, lambda x: cast(x AS double) * cast(x AS double)))"
     query_norm = float(sum((i % 7 - 3) ** 2 for i in range(64)))
     kinds = "CASE p_partkey % 6 WHEN 0 THEN 'value:color:' || p_size || ',20,30,255' WHEN 1 THEN 'value:dimension:' || p_size || 'px@dim' WHEN 2 THEN 'value:ratio:' || p_size || '@ratio' WHEN 3 THEN 'value:duration:' || p_size || 'ms' WHEN 4 THEN 'value:fontWeight:' || p_size ELSE 'value:shadow:0,' || p_size || ',0,0,0,0,0,255' END"
+    kinds_of = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate([*text.VALUE_TYPE_OF, "breakpoint", "icon"]))
+    types_of = " ".join(f"WHEN '{c}' THEN '{v}'" for c, v in text.VALUE_TYPE_OF.items())
+    home = "SELECT n_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 1"
     undirected = f"SELECT source AS a, target AS b FROM ({_NATION_EDGES}) UNION ALL SELECT target, source FROM ({_NATION_EDGES})"
     return {
         "similar_dimension": similar_sizes,
@@ -392,6 +448,12 @@ def oracle_sql() -> dict[str, str]:
         "info_counts": f"WITH n AS ({_ORDER_NODES}), e AS ({_ORDER_EDGES}), g AS (SELECT * FROM e WHERE target NOT IN (SELECT id FROM n)) SELECT 'node' AS kind, type AS name, count(*) AS n FROM n GROUP BY type UNION ALL SELECT 'edge', 'structural', count(*) FROM e UNION ALL SELECT 'loaded', 'order', count(*) FROM n UNION ALL SELECT 'loaded', 'size', (SELECT count(*) FROM e) - (SELECT count(*) FROM g) UNION ALL SELECT 'skipped', 'edges', count(*) FROM g HAVING count(*) > 0",
         "build_counts": f"WITH n AS ({_ORDER_NODES}), e AS ({_ORDER_EDGES}) SELECT (SELECT count(*) FROM n) AS nodes, cast(0 AS bigint) AS unresolved_tokens, (SELECT count(*) FROM e) AS edges, cast(0 AS bigint) AS similar, (SELECT count(*) FROM e WHERE target NOT IN (SELECT id FROM n)) AS dangling",
         "composition_parts": f"SELECT target, count(*) AS n FROM (SELECT 'value:dimension:' || p_size || 'px@fontSize' AS target FROM part UNION ALL SELECT 'value:dimension:' || {_text('p_retailprice')} || 'px@lineHeight' FROM part) GROUP BY target",
+        "merge_modes": "SELECT 's:' || l_suppkey AS source, 'f:' || l_returnflag AS target, min(l_orderkey * 8 + l_linenumber) AS ord, arg_max(cast(l_quantity AS double), l_orderkey * 8 + l_linenumber) AS weight, array_to_string(list_sort(list(DISTINCT l_linestatus)), ',') AS modes FROM lineitem GROUP BY 1, 2",
+        "explain_part": "SELECT 'has-value' AS relation, cast(1 AS bigint) AS n, 'value:dimension:' || p_size || 'px@size' AS least, 'value:dimension:' || p_size || 'px@size' AS most FROM part WHERE p_partkey = 1 UNION ALL SELECT 'shares-value-with', count(*), min('token:part:' || b.p_partkey), max('token:part:' || b.p_partkey) FROM part a JOIN part b ON a.p_size = b.p_size AND b.p_partkey <> 1 WHERE a.p_partkey = 1 HAVING count(*) > 0",
+        "path_between": f"WITH h AS ({home}), c AS (SELECT c_custkey, c_nationkey FROM customer JOIN nation n ON c_nationkey = n.n_nationkey JOIN h ON n.n_regionkey = h.n_regionkey ORDER BY c_custkey LIMIT 1), p AS (SELECT CASE WHEN c_nationkey = n_nationkey THEN ['s:1', 'n:' || n_nationkey, 'c:' || c_custkey] ELSE ['s:1', 'n:' || n_nationkey, 'r:' || n_regionkey, 'n:' || c_nationkey, 'c:' || c_custkey] END AS ids FROM h, c) SELECT unnest(range(len(ids))) AS place, unnest(ids) AS id FROM p",
+        "relevance": f"SELECT source, relation, {_half("CASE relation WHEN 'composed-of' THEN " + str(_priority('composed-of')) + " ELSE " + str(_priority('uses-token')) + " END * 0.5 / (length(source) % 3 + 1)", 6)} AS relevance FROM ({_NATION_EDGES})",
+        "category_types": f"SELECT category, CASE category {types_of} ELSE 'other' END AS value_type, count(*) AS n FROM (SELECT CASE p_partkey % {len(text.VALUE_TYPE_OF) + 2} {kinds_of} END AS category FROM part) GROUP BY 1, 2",
+        "color_syntax": "SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN regexp_full_match(lower(lpad(printf('%x', p_partkey), 6, '0')), '[a-f]{6}') WHEN 3 THEN false ELSE true END AS is_color FROM part",
         "canonical_dimension": f"SELECT p_partkey, {_text('px')} || CASE WHEN u = '%' THEN '%@s' ELSE 'px@s' END AS key, px FROM (SELECT p_partkey, {unit} AS u, {px} AS px FROM part)",
         "canonical_ratio": f"SELECT p_partkey, CASE WHEN v IS NOT NULL THEN {_text('v')} || '@aspect' END AS key, v AS value FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN {_half('cast(p_size AS double) / (p_partkey % 7)', 4)} END AS v FROM part)",
         "value_types": f"SELECT {kinds} AS id, count(*) AS n FROM part GROUP BY 1",
