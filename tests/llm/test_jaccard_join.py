@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from valuemesh.llm import blocks, jaccard_join
 
 
@@ -146,3 +148,12 @@ def test_sets_in_one_segment_stay_in_long_lists(spark):
                 w = text.decode().split()
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:12]))]
     check(spark, rows)
+
+
+def test_sets_filter_and_hash_in_one_worker(spark):
+    """A stage of two Python functions holds two workers a task: the pipeline ran out of an executor's memory there."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g"), (None, "a b c d e f")], "doc_id bigint, text string")
+    heads = jaccard_join._rows(docs).where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("head"))
+    sets = jaccard_join._sets(docs, heads)
+    assert sets._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") - heads._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sets.count() == 2

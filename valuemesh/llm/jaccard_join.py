@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from valuemesh.llm.batches import LOWER, ODD, PACKED, distinct_lists, each_part, mix, pack_entries, part_of, range_hashes, repeated, shingle_hashes, text_chunks, words
 from valuemesh.llm.blocks import link
-from valuemesh.llm.store import Scratch, bit_filter, prefiltered
+from valuemesh.llm.store import Scratch, bit_filter, passing
 
 WIDTH = 5
 #: Links have 100 * intersection >= 80 * union. The bounds below are for this similarity.
@@ -294,17 +294,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, member: DataFrame) -> DataFrame:
     """(cls, sketch, data) of each class that is on a list, from its least id's text; texts stay where
     they are."""
-    some = prefiltered(docs.select("doc_id", "text"), "doc_id", bit_filter(member, "head"))
+    bits = bit_filter(member, "head")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_chunks(batches):
+        for rows, data, offsets in text_chunks(passing(batches, bits)):
             s, d = shingles(LOWER[data], offsets)
             cls, size = classes(s, d, len(offsets) - 1)
             first = np.concatenate([[0], np.cumsum(size)])
             sets = [s[first[i] : first[i + 1]].tobytes() for i in range(len(size))]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(cls.view(np.int64)), pa.array(sketches(s, d, size), pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "cls", "sketch", "data"])
 
-    every = some.mapInArrow(run, "doc_id bigint, cls bigint, sketch binary, data binary")
+    every = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, cls bigint, sketch binary, data binary")
     want = member.select(F.col("cls").alias("want"), "head")
     return every.join(want, (F.col("cls") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("head")), "left_semi").dropDuplicates(["cls", "doc_id"]).select("cls", "sketch", "data")
 
