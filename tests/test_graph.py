@@ -161,3 +161,14 @@ def test_conventions(spark):
     side = spark.createDataFrame([("a1", "Pri mary", "v1"), ("a2", "x", "v9")], "id string, label string, value_id string")
     other = spark.createDataFrame([("b1", "other", "v1"), ("b2", "primary", "v1")], "id string, label string, value_id string")
     assert [tuple(r) for r in conventions.reconcile(side, other).collect()] == [("a1", "b2", "value+name")]
+
+
+def test_shares_value_counts(spark):
+    """The counts are those of the pairs, tokens with several values, repeated edges and lone ones included."""
+    carried = [("a", "1"), ("b", "1"), ("b", "1"), ("b", "2"), ("c", "2"), ("c", "1"), ("d", "3"), ("e", "4"), ("f", "4"), (None, "4"), ("g", None)]
+    edges = edges_of(spark, [(s, t, "has-value", i, None, None) for i, (s, t) in enumerate(carried)])
+    pairs = lookup.shares_value_with(edges).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("least"))
+    got = sorted(map(tuple, lookup.shares_value_counts(edges).collect()))
+    assert got == sorted(map(tuple, pairs.collect())) and len(got) == 5
+    many = spark.range(300000).select(F.col("id").cast("string").alias("source"), F.lit("has-value").alias("relation"), F.lit("v").alias("target"))
+    assert lookup.shares_value_counts(many).where("n = 299999").count() == 300000

@@ -101,6 +101,23 @@ def shares_value_with(edges: DataFrame) -> DataFrame:
     return one.join(two, "target").where("id <> other").select("id", "other").distinct()
 
 
+def shares_value_counts(edges: DataFrame) -> DataFrame:
+    """(id, n, least): of :func:`shares_value_with`, how many others each token has, and the least of them.
+
+    A token with one value has the value's tokens less itself, so no pair is made; only the others of
+    tokens with several values are met as pairs, to count each once."""
+    has = edges.where("relation = 'has-value' and source is not null and target is not null").select(F.col("source").alias("id"), "target").distinct()
+    values = has.groupBy("target").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first"))
+    second = has.join(values, "target").where("id <> first").groupBy("target").agg(F.min("id").alias("second"))
+    about = values.join(second, "target")  # of two tokens or more
+    mine = has.groupBy("id").agg(F.min("target").alias("target"), F.max("target").alias("last"))
+    least = F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    one = mine.where("target = last").join(about, "target").select("id", (F.col("members") - 1).alias("n"), least.alias("least"))
+    several = has.join(mine.where("target <> last").select("id"), "id")
+    pairs = several.join(has.withColumnRenamed("id", "other"), "target").where("id <> other").select("id", "other").distinct()
+    return one.union(pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("least")))
+
+
 def explain(nodes: DataFrame, edges: DataFrame, text: str) -> DataFrame | None:
     """(relation, neighbors) of one node and, under ``shares-value-with``, its value siblings; None if
     the text names no node."""

@@ -147,8 +147,7 @@ def shares_value(spark, sf_dir):
     """Per part, how many parts share its brand and size, by the brand's own graph."""
     part = _t(spark, sf_dir, "part")
     has = part.select(F.concat(F.lit("token:part:"), F.col("p_partkey").cast("string")).alias("source"), F.lit("has-value").alias("relation"), F.concat_ws("/", "p_brand", "p_size").alias("target"))
-    got = lookup.shares_value_with(has)
-    return got.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("least"))
+    return lookup.shares_value_counts(has)
 
 
 def merge_dedup(spark, sf_dir):
