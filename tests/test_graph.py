@@ -1,10 +1,12 @@
 """Merging, similarity, composition, lookups and traversals on small graphs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from valuemesh.functions.registry import METRICS, canonicalize
-from valuemesh.operators import conventions, lookup, merge, similar, traverse
+from valuemesh.operators import color_pairs, conventions, lookup, merge, similar, traverse
 from valuemesh.plans.build import link
 from valuemesh.schema import EDGES, NODES, conform
 from valuemesh.sources import graph_io
@@ -172,3 +174,26 @@ def test_shares_value_counts(spark):
     assert got == sorted(map(tuple, pairs.collect())) and len(got) == 5
     many = spark.range(300000).select(F.col("id").cast("string").alias("source"), F.lit("has-value").alias("relation"), F.lit("v").alias("target"))
     assert lookup.shares_value_counts(many).where("n = 299999").count() == 300000
+
+
+def test_color_blocks(spark, monkeypatch):
+    """Colours in several blocks and bands, outside L 0..100, equal, of equal ord, and without a component: as every
+    pair tells. No candidate pair leaves the workers."""
+    monkeypatch.setattr(color_pairs, "BLOCK", 40)
+    rng, rows = random.Random(3), []
+    for i in range(420):
+        far = i % 40 == 0
+        lab = [rng.choice([-30.0, -5.0, 104.0, 130.0]) if far else rng.uniform(0, 100), rng.uniform(-90, 90), rng.uniform(-110, 90)]
+        rows.append((f"c{i}", i - i % 3, "s" if i % 4 else None, lab))
+    rows += [("twin", 900, "s", rows[1][3]), ("nan", 901, "s", [50.0, float("nan"), 0.0]), ("part", 902, "s", [50.0, None, 0.0]), ("none", 903, "s", None), ("inf", 904, "s", [float("inf"), 0.0, 0.0])]
+    values = spark.createDataFrame(rows, "id string, ord bigint, scope string, lab array<double>").withColumn("value_type", F.lit("color")).cache()
+    near = similar.similar_pairs(values, "color", 14.0)
+    assert "ArrowEvalPython" not in near._jdf.queryExecution().executedPlan().toString()
+    every = [(r.a, r.b, r.scope, round(r.d, 9)) for r in similar.similar_pairs(values, "color", 14.0, blocked=False).collect()]
+    assert sorted((r.a, r.b, r.scope, round(r.d, 9)) for r in near.collect()) == sorted(every) and len(every) > 300
+    by = {}
+    for a, b, scope, d in every:
+        by.setdefault((a, scope), []).append((d, b))
+        by.setdefault((b, scope), []).append((d, a))
+    want = sorted((i, o, s, r + 1) for (i, s), others in by.items() for r, (_, o) in enumerate(sorted(others)[:3]))
+    assert sorted((r.id, r.other, r.scope, r.rank) for r in similar.nearest_neighbours(values, "color", 3, 14.0).collect()) == want

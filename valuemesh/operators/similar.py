@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from valuemesh.functions.numbers import clamp01, round_half_up
-from valuemesh.functions.registry import METRICS
+from valuemesh.functions.registry import METRICS, MOST_S_L, SLACK
+from valuemesh.operators.color_pairs import color_pairs, nearest_colors_of_each
+
+
+def _compared(values: DataFrame, value_type: str) -> DataFrame:
+    """(id, ord, scope, v) of the values of one type."""
+    value = F.col(METRICS[value_type].value)
+    return values.where((F.col("value_type") == value_type) & value.isNotNull()).select("id", "ord", F.coalesce("scope", F.lit("")).alias("scope"), value.alias("v"))
 
 
 def similar_pairs(values: DataFrame, value_type: str, epsilon: float | None = None, blocked: bool = True) -> DataFrame:
@@ -21,7 +28,9 @@ def similar_pairs(values: DataFrame, value_type: str, epsilon: float | None = No
     epsilon = m.epsilon if epsilon is None else epsilon
     if epsilon <= 0:
         blocked = False
-    rows = values.where((F.col("value_type") == value_type) & F.col(m.value).isNotNull()).select("id", "ord", F.coalesce("scope", F.lit("")).alias("scope"), F.col(m.value).alias("v"))
+    rows = _compared(values, value_type)
+    if blocked and value_type == "color":
+        return color_pairs(rows, epsilon, MOST_S_L * epsilon * SLACK)
     bucket = m.bucket(F.col("v"), epsilon).cast("bigint") if blocked else F.lit(0).cast("bigint")
     left = rows.select("scope", F.col("id").alias("a"), F.col("ord").alias("ao"), F.col("v").alias("av"), bucket.alias("bucket"), F.lit(True).alias("ain"))
     right = rows.select("scope", F.col("id").alias("b"), F.col("ord").alias("bo"), F.col("v").alias("bv"), bucket.alias("home"), F.lit(True).alias("bin"))
@@ -61,6 +70,9 @@ def similar_to(values: DataFrame, epsilon: dict[str, float] | None = None) -> Da
 
 def nearest_neighbours(values: DataFrame, value_type: str, k: int = 5, epsilon: float | None = None) -> DataFrame:
     """(id, other, scope, d, rank): the k nearest values below epsilon for each value."""
+    limit = METRICS[value_type].epsilon if epsilon is None else epsilon
+    if value_type == "color" and limit > 0:
+        return nearest_colors_of_each(_compared(values, value_type), k, limit, MOST_S_L * limit * SLACK)
     pairs = similar_pairs(values, value_type, epsilon)
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "scope", "d").union(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "scope", "d"))
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("id", "scope").orderBy("d", "other"))).where(F.col("rank") <= k)
